@@ -46,25 +46,26 @@ def lookup_join(
     fact: DataFrame,
     dim: DataFrame,
     on: Sequence[str],
-    spread_by: Sequence[str],
+    spread_by: Sequence[str] = (),
     how: str = "left",
     counts: DataFrame | None = None,
 ) -> DataFrame:
-    """Equi-join a fact to a lookup, ``left`` or ``inner``.
+    """Equi-join a fact to a lookup that is unique on the keys, ``left`` or ``inner``.
 
     A lookup that fits a broadcast is left to Catalyst: the fact is not
-    shuffled at all. Otherwise the rows of each hot key are cut into slices by
-    a hash of ``spread_by`` (columns that identify a fact row) and the
-    lookup's rows of that key are repeated per slice, so a key with a third of
-    the rows becomes some hundred tasks. Rows with a null key match nothing
-    and are spread the same way. ``counts`` saves the counting pass when the
-    caller already has rows per key.
+    shuffled at all. Otherwise it is a sort-merge join, whose oversized
+    partitions adaptive execution splits at run time (see the session
+    settings); counting keys beforehand would mean computing the fact twice.
+
+    A caller that has rows per key anyway passes them as ``counts``: the rows
+    of each hot key are then cut into slices by a hash of ``spread_by``
+    (columns that identify a fact row) and the lookup's row of that key is
+    repeated per slice, whatever adaptive execution decides. Rows with a null
+    key match nothing and are spread the same way.
     """
     on = list(on)
-    if fits_broadcast(dim):
+    if counts is None or fits_broadcast(dim):
         return fact.join(dim, on, how)
-    if counts is None:
-        counts = fact.groupBy(*on).agg(F.count(F.lit(1)).alias("n"))
     hot = F.broadcast(hot_keys(counts.dropna(subset=on), on))
     hashed = F.xxhash64(*spread_by)
     no_key = F.lit(False)

@@ -33,25 +33,18 @@ def assign_ids(
     start: Column | int = 0,
     buckets: int = ID_BUCKETS,
 ) -> DataFrame:
-    """Dense ids ``start+1 ..`` for rows that ``unique_by`` identifies.
+    """Unique ids above ``start`` for rows that ``unique_by`` identifies.
 
-    Rows fall into equal hash buckets, are numbered inside their bucket, and
-    the buckets' offsets come from a window over at most ``buckets`` counts.
-    The result depends on the rows alone, not on how tasks were scheduled or
-    retried.
+    Rows fall into hash buckets of about equal size and are numbered inside
+    their bucket; bucket b takes the ids start+b+1, then every ``buckets``-th.
+    That needs one shuffle, no count and no global order. Ids may have gaps,
+    and depend on the rows alone, not on how tasks were scheduled or retried.
     """
-    bucketed = df.withColumn("_bucket", F.pmod(F.xxhash64(*unique_by), F.lit(buckets)).cast("int"))
-    counts = bucketed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    upto = Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select("_bucket", F.coalesce(F.sum("_n").over(upto), F.lit(0)).alias("_before"))
+    bucket = F.pmod(F.xxhash64(*unique_by), F.lit(buckets))
     within = F.row_number().over(Window.partitionBy("_bucket").orderBy(*unique_by))
     base = F.lit(start) if isinstance(start, int) else start
-    return (
-        bucketed.withColumn("_rn", within)
-        .join(F.broadcast(offsets), "_bucket")
-        .withColumn(id_col, (base + F.col("_before") + F.col("_rn")).cast("long"))
-        .drop("_bucket", "_rn", "_before")
-    )
+    number = base + (within - 1).cast("long") * buckets + F.col("_bucket") + 1
+    return df.withColumn("_bucket", bucket).withColumn(id_col, number.cast("long")).drop("_bucket")
 
 
 def carry_forward(

@@ -109,7 +109,7 @@ def books_ledger(books: DataFrame, customers: DataFrame, fin_year: str, search:
     if search.strip():
         found = found.filter(contains_any(search.strip(), F.col("cust_name"), F.col("doc_number")))
     codes = customers.select("cust_id", "cust_code")
-    return lookup_join(found, codes, ["cust_id"], ["income_id"]).select(
+    return lookup_join(found, codes, ["cust_id"]).select(
         "income_id", "upload_ref", "cust_code", "cust_name", "doc_number",
         day_text(F.col("doc_date")).alias("doc_date"),
         "doc_type", "taxable_amt", "tax_amt", "gross_amt", "entry_source",
@@ -137,7 +137,7 @@ def unreferenced_open(entries: DataFrame, fin_year: str) -> DataFrame:
 
 def invoice_detail(books: DataFrame, customers: DataFrame) -> DataFrame:
     who = customers.select("cust_id", "cust_code", F.col("cust_name"), "pan_number", "tan_number")
-    joined = lookup_join(books.drop("cust_name"), who, ["cust_id"], ["income_id"], how="inner")
+    joined = lookup_join(books.drop("cust_name"), who, ["cust_id"], how="inner")
     return joined.select(
         "income_id", "upload_ref", "fin_year", "cust_code", "cust_name", "pan_number", "tan_number",
         "doc_number", "doc_date", "doc_type", "taxable_amt", "tax_amt", "gross_amt",
