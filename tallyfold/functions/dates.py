@@ -5,14 +5,27 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accepted date layouts, in the order they are tried.
-DATE_LAYOUTS = ["yyyy-M-d", "d-M-yyyy", "d/M/yyyy", "M/d/yyyy", "d-MMM-yyyy", "yyyy/M/d"]
+# Accepted date layouts, in the order they are tried, with the
+# shape of text each can read.
+DATE_LAYOUTS = {
+    "yyyy-M-d": r"^\d{4}-\d{1,2}-\d{1,2}$",
+    "d-M-yyyy": r"^\d{1,2}-\d{1,2}-\d{4}$",
+    "d/M/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "M/d/yyyy": r"^\d{1,2}/\d{1,2}/\d{4}$",
+    "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
+    "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
+}
 STATEMENT_DATE = r"[0-9]{2}-[A-Za-z]{3}-[0-9]{4}"
 
 
 def parse_any_date(col: Column) -> Column:
-    text = F.initcap(F.trim(col))
-    return F.coalesce(*[F.try_to_date(text, layout) for layout in DATE_LAYOUTS])
+    """The shape is tested first: a failed parse costs an exception per row."""
+    text = F.trim(col)
+    tries = []
+    for layout, shape in DATE_LAYOUTS.items():
+        value = F.initcap(text) if "MMM" in layout else text
+        tries.append(F.when(text.rlike(shape), F.try_to_date(value, layout)))
+    return F.coalesce(*tries)
 
 
 def statement_date(line: Column) -> Column:

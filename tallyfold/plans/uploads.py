@@ -52,9 +52,10 @@ def new_files(files: DataFrame, ledger: DataFrame, order: list[str]) -> DataFram
 
 
 def ledger_rows(files: DataFrame, counts: DataFrame, module: str) -> DataFrame:
-    """One upload-ledger row per file: ``files`` has file_id, file_hash,
-    size_bytes; ``counts`` has file_id, fin_year, quarter, rows_imported."""
+    """One upload-ledger row per file: ``files`` has upload_id, file_id,
+    file_hash, size_bytes; ``counts`` has file_id, fin_year, quarter, rows_imported."""
     return files.join(counts, "file_id", "left").select(
+        "upload_id",
         F.col("file_id").alias("file_name"),
         "file_hash",
         "fin_year",

@@ -7,6 +7,7 @@ default that ``spark-submit --conf`` may override.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -45,6 +46,9 @@ def build_session(
     return builder.getOrCreate()
 
 
+_own_scratch: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, for staged tables and checkpoints.
 
@@ -52,9 +56,14 @@ def scratch_root(spark: SparkSession) -> str:
     this machine is used only when that is unset, as in tests.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="tallyfold-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
+    if root:
+        return root.rstrip("/")
+    app = spark.sparkContext.applicationId
+    if app not in _own_scratch:
+        _own_scratch[app] = tempfile.mkdtemp(prefix="tallyfold-")
+    return _own_scratch[app]
+
+
+def new_scratch(spark: SparkSession, name: str) -> str:
+    """A folder name under the scratch root that nothing else uses."""
+    return f"{scratch_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"

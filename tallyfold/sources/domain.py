@@ -12,6 +12,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyfold.session import new_scratch
+
 BASE_TABLES = [
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem",
     "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
@@ -191,6 +193,11 @@ case when c_acctbal<0 then 'Inactive' else 'unknown' end status, cast(c_nationke
 from {customer}""",
 }
 
+# Tables that stand for landed files. They are written out once per
+# application, so that parsing starts from stored columns, as it would.
+LANDED = {"ledger_rows", "statement_text", "statement_lines", "register_lines", "customer_upload"}
+_landed: dict[tuple[str, str, str], str] = {}
+
 _REF = re.compile(r"\{(\w+)\}")
 
 
@@ -236,7 +243,16 @@ class Domain:
         if name not in self._frames:
             if name in DEFINITIONS:
                 refs = {r: self.table(r) for r in references(name)}
-                self._frames[name] = self.spark.sql(DEFINITIONS[name], **refs)
+                frame = self.spark.sql(DEFINITIONS[name], **refs)
+                self._frames[name] = self._land(name, frame) if name in LANDED else frame
             else:
                 self._frames[name] = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
         return self._frames[name]
+
+    def _land(self, name: str, frame: DataFrame) -> DataFrame:
+        key = (self.spark.sparkContext.applicationId, self.sf_dir, name)
+        if key not in _landed:
+            path = new_scratch(self.spark, f"landed-{name}")
+            frame.write.parquet(path)
+            _landed[key] = path
+        return self.spark.read.schema(frame.schema).parquet(_landed[key])

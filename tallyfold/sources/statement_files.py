@@ -30,9 +30,10 @@ from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.keyed import carry_forward
 from tallyfold.sources.landing import META, with_position
 
-# Token separators, header mark, row mark and layout phrases.
-TEXT_TOKENS = r"\t|,| {2,}"
-REGISTER_TOKENS = r"\t|,|\s{2,}"
+# Gaps that separate tokens (beside tab and comma), header mark, row mark and layout phrases.
+WIDE_GAP = " {2,}"
+WIDE_GAP_ANY = r"\s{2,}"
+BLANKS = " \t\n\r\f\v"
 HEADER_MARK = "customer_name"
 REGISTER_MARK = "inv-"
 OFFICIAL_MARKS = ["annual tax statement", "traces"]
@@ -41,7 +42,14 @@ OFFICIAL_DOCUMENT = "TRACES-"
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.trim(text, F.lit(BLANKS))
+
+
+def _tokens(text: Column, gap: str) -> Column:
+    """Split at tabs, commas and wide gaps. Turning all of them into tabs first
+    leaves one regular expression, and a split at a plain character."""
+    tabbed = F.regexp_replace(F.translate(_strip(text), ",", "\t"), gap, "\t")
+    return F.split(tabbed, "\t")
 
 
 def _transactions(df: DataFrame, **columns: Column) -> DataFrame:
@@ -51,11 +59,10 @@ def _transactions(df: DataFrame, **columns: Column) -> DataFrame:
 def parse_statement_text(lines: DataFrame) -> DataFrame:
     """Lines split at tabs, commas or runs of spaces; six tokens at least:
     name, document, date, (type), taxable, tax and perhaps the section."""
-    text = _strip(F.col("text"))
     kept = with_position(lines).filter(
-        (text != "") & ~F.contains(F.lower("text"), F.lit(HEADER_MARK))
+        (_strip(F.col("text")) != "") & ~F.contains(F.lower("text"), F.lit(HEADER_MARK))
     )
-    tokens = kept.withColumn("_t", F.split(text, TEXT_TOKENS)).filter(F.size("_t") >= 6)
+    tokens = kept.withColumn("_t", _tokens(F.col("text"), WIDE_GAP)).filter(F.size("_t") >= 6)
 
     def token(i: int) -> Column:
         return F.trim(F.coalesce(F.get("_t", F.lit(i)), F.lit("")))
@@ -86,7 +93,7 @@ def parse_register_lines(lines: DataFrame) -> DataFrame:
         F.contains(low, F.lit(REGISTER_MARK)) & ~F.contains(low, F.lit(HEADER_MARK))
     )
     tokens = F.filter(
-        F.transform(F.split(_strip(F.col("text")), REGISTER_TOKENS), lambda t: F.trim(t)), lambda t: t != ""
+        F.transform(_tokens(F.col("text"), WIDE_GAP_ANY), lambda t: F.trim(t)), lambda t: t != ""
     )
     rows = kept.withColumn("_t", tokens).filter(F.size("_t") >= 6)
 

@@ -1,19 +1,25 @@
-"""Warehouse tables: types, layout and writes.
+"""Stored tables: types, layout and writes.
 
-A warehouse table is a Parquet folder split by one column. Replacing the
-partitions a delta touches is the only kind of update: rows are staged first,
-then the touched partitions are overwritten, so a lost executor or a repeated
-run leaves the same table.
+A table is a Parquet folder split by one column (fiscal year, or a block of
+ids). Replacing the partitions a change touches is the only kind of update:
+rows are staged first, then the touched partitions are overwritten from the
+stage, so a lost executor or a repeated run leaves the same table and no job
+overwrites what it is reading.
 """
 
 from __future__ import annotations
 
-import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.operators.merge import merge_df
+from tallyfold.session import new_scratch
+from tallyfold.sources.schemas import OPERATIONAL, PARTITIONS, WAREHOUSE
+
+# Fixed value: ids per partition of a table split by id.
 ID_BLOCK = 1_000_000
 
 
@@ -32,3 +38,146 @@ def to_warehouse_types(df: DataFrame) -> DataFrame:
             col = col.cast("string")
         out.append(col.alias(field.name))
     return df.select(*out)
+
+
+def stage(df: DataFrame, name: str = "stage") -> DataFrame:
+    """The frame written to the shared folder and read back: what follows
+    starts from stored rows and does not compute it again."""
+    path = new_scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def export_csv(df: DataFrame, path: str) -> None:
+    """CSV with a header; quotes are doubled. The frame's order is kept across
+    the part files, which are named in order."""
+    df.write.mode("overwrite").csv(path, header=True, quote='"', escape='"', emptyValue="")
+
+
+class Store:
+    """Tables of one schema set under one folder."""
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
+        self.spark = spark
+        self.root = root.rstrip("/")
+        self.schemas = schemas
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def _fs(self, path: str):
+        hadoop_path = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return hadoop_path, hadoop_path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+
+    def exists(self, name: str) -> bool:
+        path, fs = self._fs(self.path(name))
+        return fs.exists(path)
+
+    def _stored_schema(self, name: str) -> T.StructType:
+        column, source = PARTITIONS.get(name, (None, None))
+        extra = [T.StructField(column, T.LongType())] if source else []
+        return T.StructType([*self.schemas[name].fields, *extra])
+
+    def _read_all(self, name: str) -> DataFrame:
+        schema = self._stored_schema(name)
+        if not self.exists(name):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(self.path(name))
+
+    def read(self, name: str) -> DataFrame:
+        return self._read_all(name).select(*self.schemas[name].names)
+
+    def _shaped(self, name: str, df: DataFrame) -> DataFrame:
+        columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields]
+        shaped = df.select(*columns)
+        column, source = PARTITIONS.get(name, (None, None))
+        return shaped.withColumn(column, F.floor(F.col(source) / ID_BLOCK)) if source else shaped
+
+    def _write(self, name: str, shaped: DataFrame, mode: str) -> None:
+        column = PARTITIONS.get(name, (None, None))[0]
+        writer = shaped
+        if column:
+            # Rebalancing splits a year that holds most rows over many tasks
+            # and joins small ones, so files come out of even size.
+            writer = shaped.hint("rebalance", F.col(column))
+        out = writer.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (out.partitionBy(column) if column else out).parquet(self.path(name))
+
+    def append(self, name: str, df: DataFrame) -> None:
+        self._write(name, self._shaped(name, df), "append")
+
+    def replace_partitions(self, name: str, df: DataFrame, touched: DataFrame | None = None) -> None:
+        """``df`` holds the whole new content of every partition it names.
+        Partitions of ``touched`` that it leaves without rows are removed."""
+        column = PARTITIONS[name][0]
+        staged = stage(self._shaped(name, df), f"stage-{name}")
+        self._write(name, staged, "overwrite")
+        if touched is not None:
+            emptied = touched.select(column).distinct().join(staged.select(column), column, "left_anti")
+            # At most one row per fiscal year or id block of the change.
+            for row in emptied.collect():
+                path, fs = self._fs(f"{self.path(name)}/{column}={row[0]}")
+                fs.delete(path, True)
+
+    def partitions_of(self, name: str, df: DataFrame) -> DataFrame:
+        column, source = PARTITIONS[name]
+        value = F.floor(F.col(source) / ID_BLOCK) if source else F.col(column)
+        return df.select(value.alias(column)).distinct()
+
+    def in_partitions(self, name: str, touched: DataFrame) -> DataFrame:
+        """Rows of the touched partitions only; the others are not read."""
+        column = PARTITIONS[name][0]
+        return self._read_all(name).join(touched, column, "left_semi")
+
+    def merge(
+        self,
+        name: str,
+        delta: DataFrame,
+        keys: Sequence[str],
+        update_cols: Sequence[str],
+        insert: bool = True,
+        delete_missing: bool = False,
+    ) -> None:
+        """Upsert a delta. Only the partitions it falls in are read and
+        rewritten; ``delete_missing`` applies within them."""
+        touched = self.partitions_of(name, delta)
+        current = self.in_partitions(name, touched).select(*self.schemas[name].names)
+        merged = merge_df(current, delta, keys, update_cols, insert, delete_missing)
+        self.replace_partitions(name, merged, touched)
+
+    def replace_by_key(self, name: str, delta: DataFrame, keys: Sequence[str]) -> None:
+        """Delete rows with a key of the delta wherever they are, add the delta."""
+        hit = self._read_all(name).join(delta.select(*keys), list(keys), "left_semi")
+        touched = self.partitions_of(name, hit).union(self.partitions_of(name, delta)).distinct()
+        touched = stage(touched, f"touched-{name}")
+        current = self.in_partitions(name, touched).select(*self.schemas[name].names)
+        kept = current.join(delta.select(*keys), list(keys), "left_anti")
+        self.replace_partitions(name, kept.unionByName(delta.select(*self.schemas[name].names)), touched)
+
+    def max_id(self, name: str, column: str) -> int:
+        """Highest id stored, -1 without rows."""
+        return self.read(name).agg(F.coalesce(F.max(column), F.lit(-1))).first()[0]
+
+
+def operational_store(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, OPERATIONAL)
+
+
+def warehouse_store(spark: SparkSession, root: str) -> Store:
+    return Store(spark, root, WAREHOUSE)
+
+
+def declare_warehouse(spark: SparkSession, database: str, root: str) -> list[str]:
+    """Catalog entries for the warehouse tables over their folders; existing
+    ones stay. Returns the table names."""
+    spark.sql(f"create database if not exists {database}")
+    store = warehouse_store(spark, root)
+    for name in WAREHOUSE:
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store._stored_schema(name))
+        column = PARTITIONS.get(name, (None, None))[0]
+        split = f" partitioned by (`{column}`)" if column else ""
+        spark.sql(
+            f"create table if not exists {database}.{name} ({columns}) using parquet{split} "
+            f"location '{store.path(name)}'"
+        )
+    return list(WAREHOUSE)
