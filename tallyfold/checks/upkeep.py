@@ -223,7 +223,8 @@ def _(d: Domain):
 # ------------------------------------------------------ stored tables, streams
 
 def _tables(d: Domain) -> dict[str, DataFrame]:
-    return {t: d.table(t) for t in TABLES}
+    """The operational tables as stored ones."""
+    return {t: warehouse.stage(d.table(t), t) for t in TABLES}
 
 
 @query(
