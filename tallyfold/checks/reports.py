@@ -334,6 +334,7 @@ def _(d: Domain):
 
 # ------------------------------------------------------------------- recon
 
+B0, G0, I0 = "coalesce(b.system_tds,0)", "coalesce(g.f26as_credit,0)", "coalesce(b.gross_income,0)"
 REMARK = "'Automated engine validation complete.'"
 
 
@@ -341,13 +342,11 @@ def _verdict(first_test: str) -> str:
     return (
         f"case when {first_test} then 'open' when abs(coalesce(g.f26as_credit,0)-coalesce(b.system_tds,0))<5.00 then 'reconciled' "
         "when coalesce(g.f26as_credit,0)=0 then 'open' "
-        "when least(b.system_tds,g.f26as_credit)*100>=greatest(b.system_tds,g.f26as_credit)*85 then 'likely_match' "
-        "when least(b.system_tds,g.f26as_credit)*100>=greatest(b.system_tds,g.f26as_credit)*50 then 'suggested_match' else 'open' end"
+        f"when least({B0},{G0})*100>=greatest({B0},{G0})*85 then 'likely_match' "
+        f"when least({B0},{G0})*100>=greatest({B0},{G0})*50 then 'suggested_match' else 'open' end"
     )
 
 
-B0, G0, I0 = "coalesce(b.system_tds,0)", "coalesce(g.f26as_credit,0)", "coalesce(b.gross_income,0)"
-
 RECON_VIEW_SQL = (
     "select c.cust_id, c.cust_code, c.cust_name, c.pan_number, c.tan_number, b.fin_year, "
     + num(f"{B0} system_tds", f"{I0} book_credit", f"{G0} f26as_credit", f"{B0}-{G0} variance_amt",

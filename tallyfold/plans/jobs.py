@@ -108,6 +108,7 @@ def _store_books(store: Store, files: DataFrame, frames: list[DataFrame], fin_ye
     ledger = ingest.normalise_ledger(frames[0])
     for frame in frames[1:]:
         ledger = ledger.unionByName(ingest.normalise_ledger(frame))
+    ledger = stage(ledger, "parsed-ledger")
     classified = stage(
         ingest.classify_ledger(ledger, store.read("cust_master"), store.read("tds_codes_master")), "ledger"
     )
