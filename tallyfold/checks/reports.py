@@ -563,6 +563,21 @@ def _(d: Domain):
     return page_of(_tds_report(d), [F.col("cust_name"), F.col("cust_id")], page=3, per_page=100)
 
 
+@query(
+    "section_by_name", SUMMARY_TABLES,
+    "select lower(trim(cm.cust_name)) name_key, max(fr.section_code) final_section from form26as_records fr join cust_master cm on lower(rtrim(cm.tan_number))=lower(rtrim(fr.tan_of_deductor)) "
+    f"where fr.fin_year='{FY}' and fr.section_code not in ('','—') group by 1 "
+    "union all select 'payer', max(section_code) from form26as_records where fin_year='1997-98'",
+)
+def _(d: Domain):
+    """Sections that only the owner of a TAN brings in: the statement names
+    another payer and the books carry none; an upload of the year exists."""
+    logged = d.file_uploads_log.withColumn("fin_year", F.lit(FY))
+    unnamed = d.form26as_records.withColumn("deductor_name", F.lit("Payer"))
+    blank = d.income_records.withColumn("tds_section", F.lit("—"))
+    return summary.section_by_name(d.cust_master, blank, unnamed, logged, FY)
+
+
 @query(
     "summary_inline_filter", SUMMARY_TABLES,
     f"select * from ({_report()}) r where variance_amt>0.01 and (lower(cust_name) like '%5%' or lower(pan_number) like '%5%' or lower(tan_number) like '%5%' or lower(tds_section) like '%5%')",

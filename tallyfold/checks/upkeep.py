@@ -9,11 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.checks.ingest import CUST, CUST_TABLES, RESOLVED
 from tallyfold.checks.registry import day, num, query, second
+from tallyfold.checks.reports import ASSESS_SQL, ASSESS_TABLES
 from tallyfold.operators.merge import changed_rows, insert_absent, merge_df
-from tallyfold.plans import overrides, summary, sync
+from tallyfold.plans import jobs, overrides, rates, summary, sync
 from tallyfold.session import new_scratch
-from tallyfold.sources import warehouse
+from tallyfold.sources import schemas, seeds, statement_files, warehouse
 from tallyfold.sources.domain import DEFINITIONS, Domain
 from tallyfold.sources.landing import scan_table
 from tallyfold.streaming.jobs import stream_append_sync, stream_ingest_uploads
@@ -360,3 +362,69 @@ def _(d: Domain):
     for _n in range(2):
         stream_ingest_uploads(store, f"{root}/landing", f"{root}/checkpoint")
     return store.read("income_records").select("fin_year", "cust_id", "doc_number", "taxable_amt")
+
+
+@query(
+    "load_rate_tables", ["income_records"],
+    "with chosen as (select section_code, tds_rate from (select *, row_number() over (partition by section_code order by case payee_type when 'OTHERS' then 1 when 'ALL' then 2 when 'INDIVIDUAL_HUF' then 3 else 4 end, id) rn "
+    f"from {seeds.rates_as_values()} where is_resident) q where rn=1) "
+    "select i.tds_section, " + num("c.tds_rate tds_rate", "sum(i.taxable_amt) taxable") + ", count(*) n from income_records i join chosen c on c.section_code=i.tds_section group by i.tds_section, c.tds_rate",
+)
+def _(d: Domain):
+    """Invoices per section under the shipped rates."""
+    chosen = rates.rates_for_booking(seeds.load_rate_tables(d.spark)["tds_codes_master"])
+    per_section = d.income_records.groupBy("tds_section").agg(
+        F.sum("taxable_amt").alias("taxable"), F.count(F.lit(1)).alias("n")
+    )
+    return per_section.join(chosen.withColumnRenamed("section_code", "tds_section"), "tds_section")
+
+
+def _rates(d: Domain) -> DataFrame:
+    missing = {
+        f.name: F.lit(None).cast(f.dataType) for f in schemas.RATES.fields if f.name not in d.assess_rates.columns
+    }
+    return d.assess_rates.withColumns(missing)
+
+
+STATED = RESOLVED + """, stated as (select fin_year, tan_of_deductor, section_code from form26as_records where fin_year in (select fin_year from fresh)
+  union all select fin_year, resolved_tan, section_code from fresh)
+"""
+
+
+@query(
+    "statement_ingest", ["statement_text", *ASSESS_TABLES],
+    STATED + ", " + ASSESS_SQL.strip()[len("with "):].replace("join form26as_records f", "join stated f"),
+)
+def _(d: Domain):
+    """A statement upload stored, and the invoices of its years reassessed."""
+    store = warehouse.operational_store(d.spark, new_scratch(d.spark, "statement"))
+    for name in ("cust_master", "income_records", "form26as_records"):
+        store.append(name, d.table(name))
+    store.append("tds_codes_master", _rates(d))
+    text = d.statement_text
+    files = text.groupBy("file_id").agg(F.sum(F.octet_length("text")).alias("size_bytes")).withColumns(
+        {"path": F.col("file_id"), "file_hash": F.sha2("file_id", 256)}
+    )
+    parsed = statement_files.parse_statement_text(text)
+    jobs.store_statement(store, jobs.admit(store, files), parsed)
+    return store.read("income_records")
+
+
+@query(
+    "customer_ingest", CUST_TABLES,
+    CUST + "select module_name, rows_imported, (select count(*) from cust_master)+(select count(*) from fresh) customers, (select count(*) from cust_master)+(select count(*) from fresh) tans from "
+    "(select 'customer_master' module_name, count(*) filter (where reason is null) rows_imported from s2) x",
+)
+def _(d: Domain):
+    """A customer upload merged into the stored master, with its ledger row."""
+    store = warehouse.operational_store(d.spark, new_scratch(d.spark, "customers"))
+    store.append("cust_master", d.cust_master)
+    sheet = d.customer_upload
+    files = sheet.groupBy("file_id").agg(F.sum(F.octet_length("customer_name")).alias("size_bytes")).withColumns(
+        {"path": F.col("file_id"), "file_hash": F.sha2("file_id", 256)}
+    )
+    jobs.ingest_customers(store, sheet, files)
+    people = store.read("cust_master").agg(
+        F.countDistinct("pan_number").alias("customers"), F.countDistinct("cust_id").alias("tans")
+    ).withColumn("module_name", F.lit("customer_master"))
+    return store.read("file_uploads_log").select("module_name", "rows_imported").join(people, "module_name")

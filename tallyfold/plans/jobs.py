@@ -80,7 +80,7 @@ def reassess_years(store: Store, years: Sequence[str]) -> None:
     store.replace_partitions("income_records", done)
 
 
-def _years(df: DataFrame) -> list[str]:
+def years_of(df: DataFrame) -> list[str]:
     """Fiscal years of a change: a handful of values."""
     return [r[0] for r in df.select("fin_year").distinct().collect() if r[0]]
 
@@ -130,7 +130,7 @@ def _store_books(store: Store, files: DataFrame, frames: list[DataFrame], fin_ye
     # Keyed by upload: a job that is run again replaces its own rows.
     entries = stage(lookup_join(numbered, files.select("file_id", "upload_id"), ["file_id"]), "unmatched")
     store.replace_by_key("unreferenced_entries", entries, ["upload_id"])
-    reassess_years(store, _years(accepted))
+    reassess_years(store, years_of(accepted))
     _log(store, files, counts.join(years, "file_id"), "books_of_accounts", ingest.books_event(counts, years))
     return counts
 
@@ -153,7 +153,7 @@ def store_statement(store: Store, files: DataFrame, parsed: DataFrame, fy_mode:
     fresh = stage(ingest.new_statement_rows(classified, store.read("form26as_records")), "new-statement")
     counts = stage(ingest.statement_counts(classified, fresh), "counts")
     store.append("form26as_records", ingest.statement_rows(fresh, store.max_id("form26as_records", "record_id")))
-    reassess_years(store, _years(fresh))
+    reassess_years(store, years_of(fresh))
     _log(store, files, counts.join(years, "file_id"), "form26as", ingest.statement_event(counts, years))
     return counts
 
