@@ -15,7 +15,7 @@ DATE_LAYOUTS = {
     "d-MMM-yyyy": r"^\d{1,2}-[A-Za-z]{3}-\d{4}$",
     "yyyy/M/d": r"^\d{4}/\d{1,2}/\d{1,2}$",
 }
-STATEMENT_DATE = r"[0-9]{2}-[A-Za-z]{3}-[0-9]{4}"
+STATEMENT_DATE_TOKEN = r"(?:^| )([0-9]{2}-[A-Za-z]{3}-[0-9]{4})(?= |$)"
 
 
 def parse_any_date(col: Column) -> Column:
@@ -30,8 +30,8 @@ def parse_any_date(col: Column) -> Column:
 
 def statement_date(line: Column) -> Column:
     """First space-delimited dd-MMM-yyyy token of a statement line."""
-    tokens = F.filter(F.split(line, " "), lambda t: t.rlike(f"^{STATEMENT_DATE}$"))
-    return F.try_to_date(F.initcap(F.get(tokens, F.lit(0))), "dd-MMM-yyyy")
+    token = F.regexp_extract(line, STATEMENT_DATE_TOKEN, 1)
+    return F.when(token != "", F.try_to_date(F.initcap(token), "dd-MMM-yyyy"))
 
 
 def fiscal_start(date: Column) -> Column:

@@ -105,22 +105,28 @@ def key_any_join(
     nested loop. ``right`` is unique on ``right_key`` and supplies one column.
 
     A left row that both keys match comes out twice, as the disjunction says;
-    ``dedupe`` keeps the first key's match only. Both equi-joins read the same
-    shuffled ``right``.
+    ``dedupe`` keeps the first key's match only. ``matched_by`` tells which:
+    first, second, or ``both`` on the second of two rows. Both equi-joins read
+    the same shuffled ``right``.
     """
     first, second = left_keys
     keyed = left.withColumn("_k1", first).withColumn("_k2", second)
     keyed = keyed.withColumn("_k2", F.when(~F.equal_null("_k1", "_k2"), F.col("_k2")))
-    # A null among the matches would be dropped below, so values are wrapped.
+    # Values are wrapped, so that a null one still counts as a match.
     r1 = right.select(F.col(right_key).alias("_k1"), F.struct(value).alias("_m1"))
     r2 = right.select(F.col(right_key).alias("_k2"), F.struct(value).alias("_m2"))
     both = keyed.join(r1, "_k1", "left").join(r2, "_k2", "left")
+    m1, m2 = F.col("_m1"), F.col("_m2")
+
+    def match(m: Column, by: Column) -> Column:
+        return F.when(m.isNotNull(), F.struct(m[value].alias("value"), by.alias("by")))
+
+    hit1 = match(m1, F.lit("first"))
+    hit2 = match(m2, F.when(m1.isNotNull(), "both").otherwise("second"))
     if dedupe:
-        matched = F.coalesce("_m1", "_m2")
-        return both.withColumn(value, matched[value]).drop("_k1", "_k2", "_m1", "_m2")
-    matches = F.array_compact(F.array("_m1", "_m2"))
-    return (
-        both.withColumn("_m", F.explode_outer(matches))
-        .withColumn(value, F.col("_m")[value])
-        .drop("_k1", "_k2", "_m1", "_m2", "_m")
+        matched = both.withColumn("_m", F.coalesce(hit1, hit2))
+    else:
+        matched = both.withColumn("_m", F.explode_outer(F.array_compact(F.array(hit1, hit2))))
+    return matched.withColumns({value: F.col("_m.value"), "matched_by": F.col("_m.by")}).drop(
+        "_k1", "_k2", "_m1", "_m2", "_m"
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.functions.identifiers import (
@@ -15,6 +15,7 @@ from tallyfold.functions.identifiers import (
 from tallyfold.functions.money import percent_of
 from tallyfold.operators.joins import lookup_join
 from tallyfold.plans.rates import rates_for_assessment
+from tallyfold.sources.warehouse import stage
 
 # Fixed value: least base rate, in percent, without a valid PAN.
 NO_PAN_RATE = 20
@@ -75,15 +76,21 @@ def treatments(annual: DataFrame, rated: DataFrame) -> DataFrame:
     """How every (customer, year, booked section) is taxed, settled on grouped
     rows. Unsectioned invoices are claimed by the customer's lowest rated
     section of the year and count towards that section's annual sum.
+
+    Both windows run over grouped rows: the first over a customer's rated
+    sections of a year, the second over at most two booked sections.
     """
-    first = rated.groupBy("cust_id", "fin_year").agg(F.min("section_code").alias("first_section"))
-    assigned = F.when(F.col("booked") == NO_VALUE, F.col("first_section")).otherwise(F.col("booked"))
-    claimed = annual.join(first, ["cust_id", "fin_year"]).select(
-        "cust_id", "fin_year", "booked", "taxable", assigned.alias("section_code")
+    lowest = F.min("section_code").over(Window.partitionBy("cust_id", "fin_year"))
+    claims = rated.withColumn("_lowest", lowest).withColumn(
+        "booked",
+        F.explode(
+            F.when(F.col("section_code") == F.col("_lowest"), F.array(F.col("section_code"), F.lit(NO_VALUE)))
+            .otherwise(F.array("section_code"))
+        ),
     )
-    keys = ["cust_id", "fin_year", "section_code"]
-    per_section = claimed.groupBy(*keys).agg(F.sum("taxable").alias("annual_taxable"))
-    return claimed.join(per_section, keys).join(rated, keys)
+    both = claims.drop("_lowest").join(annual, ["cust_id", "fin_year", "booked"])
+    section = Window.partitionBy("cust_id", "fin_year", "section_code")
+    return both.withColumn("annual_taxable", F.sum("taxable").over(section))
 
 
 def reassess_tax(
@@ -101,7 +108,8 @@ def reassess_tax(
         inside = F.col("fin_year").isin(fin_years)
         done = reassess_tax(books.filter(inside), customers, statement.filter(inside), rates)
         return done.unionByName(books.filter(~inside))
-    annual = annual_taxable(books)
+    # Read three times below; staged, the invoices are scanned once for it.
+    annual = stage(annual_taxable(books), "annual")
     limit = F.coalesce("threshold_limit", F.lit(0)).cast("decimal(20,0)")
     plan = treatments(annual, effective_rates(customers, statement, rates)).select(
         "cust_id", "fin_year", "booked",

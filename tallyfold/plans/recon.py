@@ -68,7 +68,7 @@ def _year_frame(
     """Every customer with the year's book totals and the credit found under
     its TAN or its PAN."""
     year = F.col("fin_year") == fy
-    b = book_totals(books.filter(year)).drop("fin_year")
+    b = book_totals(books.filter(year)).drop("fin_year").withColumn("has_books", F.lit(True))
     g = statement_totals(statement.filter(year)).drop("fin_year")
     who = customers.select("cust_id", "cust_name", "pan_number", "tan_number")
     keys = (key_of(F.col("tan_number")), key_of(F.col("pan_number")))
@@ -117,10 +117,7 @@ def recon_totals(
         money_sum(F.col("f26as_credit")).alias("total_f26as_credit"),
         money_sum(F.col("gross_income")).alias("total_book_credit"),
     )
-    pct = F.when(F.col("total_system_tds") == 0, F.lit(0).cast("decimal(20,4)")).otherwise(
-        ratio_pct(F.col("total_f26as_credit"), F.col("total_system_tds"))
-    )
-    return sums.withColumn("pct_credit", pct)
+    return sums.withColumn("pct_credit", _pct_of_totals())
 
 
 def recon_status_counts(
@@ -166,24 +163,29 @@ def recon_stats(
     fin_year: str,
     dedupe: bool = False,
 ) -> DataFrame:
-    """All figures of the overview in one row: totals, distinct customers and
-    one count per status, zero where the status does not occur."""
-    totals = recon_totals(customers, books, statement, fin_year, dedupe)
-    people = recon_customer_count(customers, books, statement, fin_year)
-    counts = recon_status_counts(customers, books, statement, overrides, fin_year, dedupe)
-    per_status = counts.agg(
-        *[
-            F.coalesce(F.sum(F.when(F.col("recon_status") == s, F.col("cnt_val"))), F.lit(0)).alias(f"cnt_{s}")
-            for s in STATUSES
-        ]
-    )
-    # One-row frames are stacked and added up instead of cross-joined.
-    stacked = (
-        totals.unionByName(
-            people.withColumnRenamed("total_cust", "cnt_grand_total"), allowMissingColumns=True
-        ).unionByName(per_status, allowMissingColumns=True)
+    """All figures of the overview in one row and one pass: totals, distinct
+    customers and one count per status, zero where the status does not occur."""
+    fy = fiscal_year_param(fin_year)
+    manual = overrides.filter(F.col("fin_year") == fy).select("cust_id", "manual_status")
+    rows = _year_frame(customers, books, statement, fy, dedupe).join(manual, "cust_id", "left")
+    b, g, i = (or_zero(F.col(c)) for c in ("system_tds", "f26as_credit", "gross_income"))
+    counted = F.col("system_tds").isNotNull() | F.col("f26as_credit").isNotNull()
+    verdict = F.coalesce("manual_status", status_of_records(b, g, i))
+    # A customer counts once: on the row of its TAN, else on its only row if it has books.
+    by_tan = F.coalesce(F.col("matched_by") == "first", F.lit(False))
+    again = F.coalesce(F.col("matched_by") == "both", F.lit(False))
+    customer = by_tan | (F.coalesce("has_books", F.lit(False)) & ~again)
+    sums = rows.agg(
+        money_sum(F.col("system_tds")).alias("total_system_tds"),
+        money_sum(F.col("f26as_credit")).alias("total_f26as_credit"),
+        money_sum(F.col("gross_income")).alias("total_book_credit"),
+        F.count_if(customer).alias("cnt_grand_total"),
+        *[F.count_if(counted & (verdict == s)).alias(f"cnt_{s}") for s in STATUSES],
     )
-    kinds = dict(totals.dtypes)
-    return stacked.agg(
-        *[F.max(c).cast(kinds.get(c, "long")).alias(c) for c in stacked.columns]
+    return sums.withColumn("pct_credit", _pct_of_totals())
+
+
+def _pct_of_totals():
+    return F.when(F.col("total_system_tds") == 0, F.lit(0).cast("decimal(20,4)")).otherwise(
+        ratio_pct(F.col("total_f26as_credit"), F.col("total_system_tds"))
     )

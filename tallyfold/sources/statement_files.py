@@ -10,10 +10,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.functions.dates import STATEMENT_DATE, parse_any_date, statement_date
+from tallyfold.functions.dates import STATEMENT_DATE_TOKEN, parse_any_date, statement_date
 from tallyfold.functions.headers import normalise_headers, resolve
 from tallyfold.functions.identifiers import (
     NO_VALUE,
+    SECTION_IN_TEXT,
+    SECTION_IN_TEXT_EXTENDED,
+    SPLIT_TAN,
+    TAN_IN_TEXT,
     UNKNOWN_CUSTOMER,
     UNKNOWN_DEDUCTOR,
     blank_to_null,
@@ -29,6 +33,7 @@ from tallyfold.functions.money import number_or_null, statement_amounts, zero
 from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.keyed import carry_forward
 from tallyfold.sources.landing import META, with_position
+from tallyfold.sources.warehouse import stage
 
 # Gaps that separate tokens (beside tab and comma), header mark, row mark and layout phrases.
 WIDE_GAP = " {2,}"
@@ -183,32 +188,40 @@ def parse_statement_lines(
     Lines that are neither a deductor nor a transaction are dropped before
     anything is shuffled. ``official`` has file_id and assessee.
     """
+    line, joined = F.col("_line"), F.col("_joined")
     collapsed = F.trim(F.regexp_replace("text", " +", " "))
     read = lines.select("file_id", _position().alias("line_no"), collapsed.alias("_line"))
-    read = read.withColumn("_tan", tan_in(repair_split_tan(F.col("_line"))))
-    section = section_in(F.col("_line"), extended)
-    amounts = statement_amounts(F.col("_line"), signed=extended)
-    is_header = F.col("_tan").isNotNull()
-    marked = read.select(
+    # Which lines matter is told by three patterns; what is in them is taken
+    # apart once, behind that filter.
+    section_form = SECTION_IN_TEXT_EXTENDED if extended else SECTION_IN_TEXT
+    has_tan = line.rlike(TAN_IN_TEXT) | line.rlike(SPLIT_TAN)
+    has_txn = line.rlike(STATEMENT_DATE_TOKEN) & line.rlike(section_form)
+    kept = read.filter(has_tan | has_txn).withColumn("_joined", repair_split_tan(line))
+    parts = kept.select(
+        "file_id", "line_no",
+        tan_in(joined).alias("_tan"),
+        deductor_name_before_tan(joined).alias("_name"),
+        F.when(line.rlike(STATEMENT_DATE_TOKEN), section_in(line, extended)).alias("_section"),
+        statement_date(line).alias("_date"),
+        statement_amounts(line, signed=extended).alias("_amounts"),
+    )
+    marked = parts.select(
         "file_id", "line_no",
         F.when(
-            is_header,
-            F.struct(
-                F.col("_tan").alias("tan"),
-                deductor_name_before_tan(repair_split_tan(F.col("_line"))).alias("name"),
-            ),
+            F.col("_tan").isNotNull(), F.struct(F.col("_tan").alias("tan"), F.col("_name").alias("name"))
         ).alias("deductor"),
         F.when(
-            ~is_header & section.isNotNull() & F.col("_line").rlike(f"(^| ){STATEMENT_DATE}( |$)")
-            & (F.size(amounts) >= 2),
+            F.col("_tan").isNull() & F.col("_section").isNotNull() & (F.size("_amounts") >= 2),
             F.struct(
-                section.alias("section"),
-                statement_date(F.col("_line")).alias("date"),
-                number_or_null(F.element_at(amounts, 1)).alias("taxable"),
-                number_or_null(F.element_at(amounts, -1)).alias("tax"),
+                F.col("_section").alias("section"),
+                F.col("_date").alias("date"),
+                number_or_null(F.element_at("_amounts", 1)).alias("taxable"),
+                number_or_null(F.element_at("_amounts", -1)).alias("tax"),
             ),
         ).alias("txn"),
-    ).filter(F.col("deductor").isNotNull() | F.col("txn").isNotNull())
+    )
+    # The fill reads its input twice; staged, lines are parsed once.
+    marked = stage(marked, "statement-lines").filter(F.col("deductor").isNotNull() | F.col("txn").isNotNull())
     owned = carry_forward(marked, "file_id", "line_no", "deductor").filter(F.col("txn").isNotNull())
     # The files' names come in after the parsing, on the transactions alone.
     named = lookup_join(owned, official, ["file_id"], how="inner")
