@@ -78,8 +78,10 @@ def carry_forward(
 
 
 def _last_value(df: DataFrame, keys: list[str], position: str, value: str) -> DataFrame:
-    known = F.when(F.col(value).isNotNull(), F.col(position))
-    return df.groupBy(*keys).agg(F.max_by(value, known).alias(value))
+    """Last known value of every group, null where it has none. Only rows with
+    a value are sorted for it; the groups themselves come from a hash distinct."""
+    known = df.filter(F.col(value).isNotNull()).groupBy(*keys).agg(F.max_by(value, position).alias(value))
+    return df.select(*keys).distinct().join(known, keys, "left")
 
 
 def _starts(ends: DataFrame, group: str, value: str, bits: int, rest: Sequence[int]) -> DataFrame:

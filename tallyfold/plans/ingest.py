@@ -191,8 +191,10 @@ STATEMENT_KEY = ["tan_of_deductor", "section_code", "transaction_date", "tds_cre
 
 def statement_years(parsed: DataFrame) -> DataFrame:
     """Fiscal year and quarter of each file, from its first transaction."""
-    place = F.struct(*POSITION)
-    first = F.min_by("transaction_date", F.when(F.col("transaction_date").isNotNull(), place))
+    # One number for both parts of the position keeps this a hash aggregation.
+    wide = "decimal(38,0)"
+    place = F.col("line_block").cast(wide) * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("line_no").cast(wide)
+    first = F.min_by("transaction_date", F.when(F.col("transaction_date").isNotNull(), place.cast(wide)))
     return parsed.groupBy("file_id").agg(
         fiscal_year(first).alias("fin_year"), fiscal_quarter(first).alias("quarter")
     )

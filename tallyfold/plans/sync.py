@@ -218,11 +218,15 @@ def sync_scope_fy(
         scope = F.col("cust_id").isin(list(cust_ids))
         others = store.read("income_records").filter(year & ~scope)
         pushed = pushed.filter(scope).unionByName(others)
-    touched = store.spark.createDataFrame([(fy,)], "fin_year string")
-    store.replace_partitions("income_records", pushed, touched)
-    credits = statement_with_customer(statement.filter(year), customers)
-    store.replace_partitions("form26as_records", credits, touched)
-    store.replace_partitions("tds_summary", tds_summary_fy(customers, books, statement, fy), touched)
+    frames = {
+        "income_records": pushed,
+        "form26as_records": statement_with_customer(statement.filter(year), customers),
+        "tds_summary": tds_summary_fy(customers, books, statement, fy),
+    }
+    for name, frame in frames.items():
+        # What the year holds now, so that parts left without rows are removed.
+        touched = stage(store.partitions_of(name, store.read(name).filter(year)), f"touched-{name}")
+        store.replace_partitions(name, frame, touched)
     store.replace_partitions("cust_master", customers_for_warehouse(customers))
 
 

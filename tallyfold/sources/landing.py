@@ -17,6 +17,7 @@ from pyspark.sql import types as T
 
 from tallyfold.functions.headers import normalise_headers
 from tallyfold.functions.identifiers import text_or_blank
+from tallyfold.operators.keyed import first_per_key
 
 POSITION = ["line_block", "line_no"]
 META = ["file_id", *POSITION]
@@ -70,10 +71,16 @@ def read_lines(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     return lines.select(*_file_columns(), F.col("value").alias("text"))
 
 
-def first_line(spark: SparkSession, path: str) -> str:
-    """Only the head of the first split is read."""
-    row = spark.read.text(path).filter("_metadata.file_block_start = 0").first()
-    return row[0].lstrip("﻿") if row else ""
+def header_lines(spark: SparkSession, paths: Sequence[str]) -> dict[str, str]:
+    """First line of each file of an upload. Only first splits are looked at,
+    and each task passes on one line per file."""
+    heads = (
+        spark.read.text(list(paths))
+        .filter("_metadata.file_block_start = 0")
+        .select(F.col("_metadata.file_path").alias("path"), "value", F.monotonically_increasing_id().alias("n"))
+    )
+    first = first_per_key(heads, ["path"], [F.col("n")])
+    return {r["path"]: r["value"].lstrip("\ufeff") for r in first.select("path", "value").collect()}
 
 
 def separator_of(header: str) -> str:
@@ -95,8 +102,8 @@ def read_books_delimited(spark: SparkSession, paths: Sequence[str]) -> list[Data
     """Ledger text files, one frame per distinct header: tab-separated if the
     header line has a tab, comma-separated otherwise."""
     groups: dict[str, list[str]] = {}
-    for path in paths:
-        groups.setdefault(first_line(spark, path), []).append(path)
+    for path, header in sorted(header_lines(spark, paths).items()):
+        groups.setdefault(header, []).append(path)
     frames = []
     for header, members in groups.items():
         names = header_of(header)

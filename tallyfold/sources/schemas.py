@@ -70,6 +70,8 @@ OVERRIDES = _schema(
 )
 MARKS = _schema(table_name="text", last_id="long", row_count="long", last_synced_at="time")
 
+ID_MARKS = _schema(table_name="text", last_id="long")
+
 OPERATIONAL = {
     "cust_master": CUSTOMERS,
     "income_records": BOOKS,
@@ -81,6 +83,7 @@ OPERATIONAL = {
     "file_uploads_log": UPLOADS,
     "audit_logs": AUDIT,
     "recon_overrides": OVERRIDES,
+    "id_marks": ID_MARKS,
 }
 
 # Warehouse copies: the same columns, books and statement with the customer's
@@ -105,21 +108,26 @@ WAREHOUSE = {
     ),
     "audit_logs": AUDIT,
     "sync_marks": MARKS,
+    "id_marks": ID_MARKS,
 }
 
-# Partition column of a table; ``id_block`` is made from the id named second.
+# Partition columns of a table. ``cust_bucket`` is a hash of the customer, so
+# that an upload rewrites only its customers' share of a year; ``id_block`` is
+# a range of the id in IDS.
 PARTITIONS = {
-    "income_records": ("fin_year", None),
-    "form26as_records": ("fin_year", None),
-    "tds_summary": ("fin_year", None),
-    "recon_overrides": ("fin_year", None),
-    "unreferenced_entries": ("fin_year", None),
-    "adjustments": ("fin_year", None),
-    "file_uploads_log": ("module_name", None),
-    "sync_marks": ("table_name", None),
-    "cust_master": ("id_block", "cust_id"),
-    "audit_logs": ("id_block", "log_id"),
+    "income_records": ["fin_year", "cust_bucket"],
+    "form26as_records": ["fin_year"],
+    "tds_summary": ["fin_year", "cust_bucket"],
+    "recon_overrides": ["fin_year"],
+    "unreferenced_entries": ["fin_year"],
+    "adjustments": ["fin_year"],
+    "file_uploads_log": ["module_name"],
+    "sync_marks": ["table_name"],
+    "id_marks": ["table_name"],
+    "cust_master": ["id_block"],
+    "audit_logs": ["id_block"],
 }
+IDS = {"cust_master": "cust_id", "audit_logs": "log_id"}
 
 # Domains of coded columns.
 DOMAINS = {

@@ -11,13 +11,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.operators.merge import merge_df
 from tallyfold.session import new_scratch
-from tallyfold.sources.schemas import OPERATIONAL, PARTITIONS, WAREHOUSE
+from tallyfold.sources.schemas import IDS, OPERATIONAL, PARTITIONS, WAREHOUSE
 
 # Fixed value: ids per partition of a table split by id.
 ID_BLOCK = 1_000_000
@@ -55,12 +55,18 @@ def export_csv(df: DataFrame, path: str) -> None:
 
 
 class Store:
-    """Tables of one schema set under one folder."""
+    """Tables of one schema set under one folder.
 
-    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType]):
+    ``buckets`` is the number of customer buckets a fiscal year is split into.
+    Choose it so that a bucket of a year stays near a gigabyte, since a bucket
+    is the least that an upsert rewrites; it is fixed for the store's life.
+    """
+
+    def __init__(self, spark: SparkSession, root: str, schemas: dict[str, T.StructType], buckets: int = 1):
         self.spark = spark
         self.root = root.rstrip("/")
         self.schemas = schemas
+        self.buckets = buckets
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -73,13 +79,22 @@ class Store:
         path, fs = self._fs(self.path(name))
         return fs.exists(path)
 
-    def _stored_schema(self, name: str) -> T.StructType:
-        column, source = PARTITIONS.get(name, (None, None))
-        extra = [T.StructField(column, T.LongType())] if source else []
+    def _derived(self, name: str) -> dict[str, Column]:
+        """Partition columns that the table does not carry itself."""
+        made = {}
+        for column in PARTITIONS.get(name, []):
+            if column == "cust_bucket":
+                made[column] = F.pmod(F.xxhash64("cust_id"), F.lit(self.buckets)).cast("long")
+            elif column == "id_block":
+                made[column] = F.floor(F.col(IDS[name]) / ID_BLOCK).cast("long")
+        return made
+
+    def stored_schema(self, name: str) -> T.StructType:
+        extra = [T.StructField(c, T.LongType()) for c in self._derived(name)]
         return T.StructType([*self.schemas[name].fields, *extra])
 
     def _read_all(self, name: str) -> DataFrame:
-        schema = self._stored_schema(name)
+        schema = self.stored_schema(name)
         if not self.exists(name):
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(self.path(name))
@@ -89,19 +104,15 @@ class Store:
 
     def _shaped(self, name: str, df: DataFrame) -> DataFrame:
         columns = [F.col(f.name).cast(f.dataType).alias(f.name) for f in self.schemas[name].fields]
-        shaped = df.select(*columns)
-        column, source = PARTITIONS.get(name, (None, None))
-        return shaped.withColumn(column, F.floor(F.col(source) / ID_BLOCK)) if source else shaped
+        return df.select(*columns).withColumns(self._derived(name))
 
     def _write(self, name: str, shaped: DataFrame, mode: str) -> None:
-        column = PARTITIONS.get(name, (None, None))[0]
-        writer = shaped
-        if column:
-            # Rebalancing splits a year that holds most rows over many tasks
-            # and joins small ones, so files come out of even size.
-            writer = shaped.hint("rebalance", F.col(column))
-        out = writer.write.mode(mode).option("partitionOverwriteMode", "dynamic")
-        (out.partitionBy(column) if column else out).parquet(self.path(name))
+        split = PARTITIONS.get(name, [])
+        # Rebalancing splits a partition that holds most rows over many tasks
+        # and joins small ones, so files come out of even size.
+        even = shaped.hint("rebalance", *[F.col(c) for c in split]) if split else shaped
+        out = even.write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        (out.partitionBy(*split) if split else out).parquet(self.path(name))
 
     def append(self, name: str, df: DataFrame) -> None:
         self._write(name, self._shaped(name, df), "append")
@@ -109,25 +120,23 @@ class Store:
     def replace_partitions(self, name: str, df: DataFrame, touched: DataFrame | None = None) -> None:
         """``df`` holds the whole new content of every partition it names.
         Partitions of ``touched`` that it leaves without rows are removed."""
-        column = PARTITIONS[name][0]
+        split = PARTITIONS[name]
         staged = stage(self._shaped(name, df), f"stage-{name}")
         self._write(name, staged, "overwrite")
         if touched is not None:
-            emptied = touched.select(column).distinct().join(staged.select(column), column, "left_anti")
-            # At most one row per fiscal year or id block of the change.
+            emptied = touched.select(*split).distinct().join(staged.select(*split), split, "left_anti")
+            # Names of emptied folders only: at most the partitions of one change.
             for row in emptied.collect():
-                path, fs = self._fs(f"{self.path(name)}/{column}={row[0]}")
+                folder = "/".join(f"{c}={row[c]}" for c in split)
+                path, fs = self._fs(f"{self.path(name)}/{folder}")
                 fs.delete(path, True)
 
     def partitions_of(self, name: str, df: DataFrame) -> DataFrame:
-        column, source = PARTITIONS[name]
-        value = F.floor(F.col(source) / ID_BLOCK) if source else F.col(column)
-        return df.select(value.alias(column)).distinct()
+        return df.withColumns(self._derived(name)).select(*PARTITIONS[name]).distinct()
 
     def in_partitions(self, name: str, touched: DataFrame) -> DataFrame:
         """Rows of the touched partitions only; the others are not read."""
-        column = PARTITIONS[name][0]
-        return self._read_all(name).join(touched, column, "left_semi")
+        return self._read_all(name).join(touched, PARTITIONS[name], "left_semi")
 
     def merge(
         self,
@@ -155,16 +164,24 @@ class Store:
         self.replace_partitions(name, kept.unionByName(delta.select(*self.schemas[name].names)), touched)
 
     def max_id(self, name: str, column: str) -> int:
-        """Highest id stored, -1 without rows."""
-        return self.read(name).agg(F.coalesce(F.max(column), F.lit(-1))).first()[0]
+        """Highest id stored, -1 without rows. The last answer is kept as a
+        mark; only row groups with ids above it are read the next time."""
+        marks = self.read("id_marks").filter(F.col("table_name") == name).agg(F.max("last_id")).first()
+        known = -1 if marks[0] is None else marks[0]
+        found = self.read(name).filter(F.col(column) > known).agg(F.max(column)).first()[0]
+        if found is None:
+            return known
+        row = self.spark.createDataFrame([(name, found)], self.schemas["id_marks"])
+        self._write("id_marks", self._shaped("id_marks", row), "overwrite")
+        return found
 
 
-def operational_store(spark: SparkSession, root: str) -> Store:
-    return Store(spark, root, OPERATIONAL)
+def operational_store(spark: SparkSession, root: str, buckets: int = 1) -> Store:
+    return Store(spark, root, OPERATIONAL, buckets)
 
 
-def warehouse_store(spark: SparkSession, root: str) -> Store:
-    return Store(spark, root, WAREHOUSE)
+def warehouse_store(spark: SparkSession, root: str, buckets: int = 1) -> Store:
+    return Store(spark, root, WAREHOUSE, buckets)
 
 
 def declare_warehouse(spark: SparkSession, database: str, root: str) -> list[str]:
@@ -173,9 +190,9 @@ def declare_warehouse(spark: SparkSession, database: str, root: str) -> list[str
     spark.sql(f"create database if not exists {database}")
     store = warehouse_store(spark, root)
     for name in WAREHOUSE:
-        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store._stored_schema(name))
-        column = PARTITIONS.get(name, (None, None))[0]
-        split = f" partitioned by (`{column}`)" if column else ""
+        columns = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in store.stored_schema(name))
+        parts = ", ".join(f"`{c}`" for c in PARTITIONS.get(name, []))
+        split = f" partitioned by ({parts})" if parts else ""
         spark.sql(
             f"create table if not exists {database}.{name} ({columns}) using parquet{split} "
             f"location '{store.path(name)}'"

@@ -80,7 +80,7 @@ def test_books_upload(spark, store, tmp_path):
     assert jobs.ingest_books(store, [moved]).first()["refreshed"] == 1
     books = {r["doc_number"]: r for r in store.read("income_records").collect()}
     assert len(books) == 3 and books["INV-2"]["fin_year"] == "2025-26"
-    assert not (tmp_path / "tables" / "income_records" / "fin_year=2023-24").exists()
+    assert not list((tmp_path / "tables" / "income_records" / "fin_year=2023-24").rglob("*.parquet"))
 
 
 def test_undated_ledger_is_refused(store, tmp_path):

@@ -128,13 +128,13 @@ def test_snapshots_keep_days_apart(spark, tables, tmp_path):
 
 def test_merge_reads_touched_partitions_only(spark, store, tables):
     store.append("income_records", sync.books_with_customer(tables["income_records"], tables["cust_master"]))
-    touched = spark.createDataFrame([("1997-98",)], "fin_year string")
+    touched = spark.createDataFrame([("1997-98", 0)], "fin_year string, cust_bucket long")
     frame = store.in_partitions("income_records", touched)
     assert {r[0] for r in frame.select("fin_year").distinct().collect()} == {"1997-98"}
-    before = {p.name: sorted(f.name for f in p.iterdir()) for p in _partitions(store)}
+    before = {p.name: sorted(f.name for f in p.rglob("*.parquet")) for p in _partitions(store)}
     delta = store.read("income_records").filter("fin_year = '1997-98'").limit(3).withColumn("tds_section", F.lit("X"))
     store.merge("income_records", warehouse.stage(delta), ["income_id", "fin_year"], ["tds_section"], insert=False)
-    after = {p.name: sorted(f.name for f in p.iterdir()) for p in _partitions(store)}
+    after = {p.name: sorted(f.name for f in p.rglob("*.parquet")) for p in _partitions(store)}
     assert [p for p in before if before[p] != after[p]] == ["fin_year=1997-98"]
     assert store.read("income_records").filter("tds_section = 'X'").count() == 3
 
@@ -145,6 +145,22 @@ def _partitions(store):
     return sorted(p for p in Path(store.path("income_records")).iterdir() if p.is_dir() and "=" in p.name)
 
 
+def test_customer_buckets_narrow_a_rewrite(spark, tables, tmp_path):
+    store = warehouse.warehouse_store(spark, str(tmp_path / "buckets"), buckets=4)
+    now = sync.books_with_customer(tables["income_records"], tables["cust_master"])
+    store.append("income_records", now)
+    files = {p: p.stat().st_mtime_ns for p in tmp_path.rglob("*.parquet") if "income_records" in str(p)}
+    one = store.read("income_records").filter("fin_year = '1997-98'").limit(1).withColumn("tds_section", F.lit("X"))
+    store.merge("income_records", warehouse.stage(one), ["income_id", "fin_year"], ["tds_section"], insert=False)
+    left = {p for p in tmp_path.rglob("*.parquet") if "income_records" in str(p)} & set(files)
+    gone = {p.parent for p in files if p not in left}
+    assert len(gone) == 1
+    assert store.read("income_records").count() == now.count()
+    sync.sync_scope_fy(store, {**tables, "income_records": tables["income_records"].filter("cust_id < 20")}, "1997-98")
+    year = store.read("income_records").filter("fin_year = '1997-98'")
+    assert year.count() == now.filter("fin_year = '1997-98' and cust_id < 20").count()
+
+
 def test_declared_tables_read_what_was_stored(spark, store, tables):
     sync.sync_customers(store, tables["cust_master"])
     names = warehouse.declare_warehouse(spark, "wh_test", store.root)
