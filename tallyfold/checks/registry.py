@@ -22,6 +22,7 @@ def query(name: str, tables: list[str], sql: str | None):
 
     def register(fn: Callable[[Domain], DataFrame]):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            spark.conf.set("spark.sql.session.timeZone", "UTC")
             return to_warehouse_types(fn(Domain(spark, sf_dir)))
 
         if name in QUERIES:

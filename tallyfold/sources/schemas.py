@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tallyfold.functions.identifiers import CUSTOMER_STATUSES
+from tallyfold.functions.matching import STATUSES
+
 _KINDS = {
     "long": T.LongType(),
     "int": T.IntegerType(),
@@ -131,7 +136,17 @@ IDS = {"cust_master": "cust_id", "audit_logs": "log_id"}
 
 # Domains of coded columns.
 DOMAINS = {
-    "cust_status": ["active", "inactive"],
+    "manual_status": STATUSES,
+    "cust_status": CUSTOMER_STATUSES,
     "adj_type": ["credit_note", "discount", "write_off", "advance_adj", "other"],
     "unref_reason": ["no_pan", "no_tan", "no_customer", "duplicate"],
 }
+
+
+def outside_domains(df: DataFrame) -> DataFrame:
+    """Rows with a coded column outside its domain; null is outside."""
+    fault = F.lit(False)
+    for column, allowed in DOMAINS.items():
+        if column in df.columns:
+            fault = fault | ~F.coalesce(F.col(column).isin(allowed), F.lit(False))
+    return df.filter(fault)
