@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 PAN_FORMAT = r"^[A-Z]{5}[0-9]{4}[A-Z]$"
 TAN_FORMAT = r"^[A-Z]{4}[0-9]{5}[A-Z]$"
 TAN_IN_TEXT = r"\b([A-Z]{4}[0-9]{5}[A-Z])\b"
+BEFORE_TAN = f"^(.*?){TAN_IN_TEXT}"
 SPLIT_TAN = r"([A-Z]{4}[0-9]{1,4})\s+([0-9]{1,4}[A-Z])\b"
 SECTION_IN_TEXT = r"\b(192|194[A-Za-z]?|193|195|206[A-Za-z]?)\b"
 SECTION_IN_TEXT_EXTENDED = r"\b(192[A-Za-z]?|194[A-Za-z]{0,3}|193|195|206[A-Za-z]{0,2})\b"
@@ -70,14 +71,17 @@ def tan_in(line: Column) -> Column:
     return blank_to_null(F.regexp_extract(line, TAN_IN_TEXT, 1))
 
 
-def deductor_name_before_tan(line: Column) -> Column:
-    """Text in front of the first TAN without the label phrases."""
-    name = F.regexp_extract(line, f"^(.*?){TAN_IN_TEXT}", 1)
+def without_labels(name: Column) -> Column:
     for label in DEDUCTOR_LABELS:
         name = F.replace(name, F.lit(label), F.lit(""))
     return F.coalesce(blank_to_null(name), F.lit(UNKNOWN_DEDUCTOR))
 
 
+def deductor_name_before_tan(line: Column) -> Column:
+    """Text in front of the first TAN without the label phrases."""
+    return without_labels(F.regexp_extract(line, BEFORE_TAN, 1))
+
+
 def section_in(line: Column, extended: bool = False) -> Column:
     pattern = SECTION_IN_TEXT_EXTENDED if extended else SECTION_IN_TEXT
     return blank_to_null(F.upper(F.regexp_extract(line, pattern, 1)))

@@ -13,21 +13,19 @@ from pyspark.sql import functions as F
 from tallyfold.functions.dates import STATEMENT_DATE_TOKEN, parse_any_date, statement_date
 from tallyfold.functions.headers import normalise_headers, resolve
 from tallyfold.functions.identifiers import (
+    BEFORE_TAN,
     NO_VALUE,
     SECTION_IN_TEXT,
     SECTION_IN_TEXT_EXTENDED,
-    SPLIT_TAN,
     TAN_IN_TEXT,
     UNKNOWN_CUSTOMER,
     UNKNOWN_DEDUCTOR,
     blank_to_null,
     code_of,
-    deductor_name_before_tan,
     repair_split_tan,
-    section_in,
-    tan_in,
     tax_category,
     text_or_blank,
+    without_labels,
 )
 from tallyfold.functions.money import number_or_null, statement_amounts, zero
 from tallyfold.operators.joins import lookup_join
@@ -44,6 +42,8 @@ REGISTER_MARK = "inv-"
 OFFICIAL_MARKS = ["annual tax statement", "traces"]
 ASSESSEE = r"Name of Assessee\s+([A-Za-z0-9 ]+)"
 OFFICIAL_DOCUMENT = "TRACES-"
+TAN_LIKE = "[A-Z]{4}[0-9]"
+DATE_LIKE = "[0-9]{2}-[A-Za-z]{3}-[0-9]{4}"
 
 
 def _strip(text: Column) -> Column:
@@ -188,22 +188,30 @@ def parse_statement_lines(
     Lines that are neither a deductor nor a transaction are dropped before
     anything is shuffled. ``official`` has file_id and assessee.
     """
-    line, joined = F.col("_line"), F.col("_joined")
-    collapsed = F.trim(F.regexp_replace("text", " +", " "))
-    read = lines.select("file_id", _position().alias("line_no"), collapsed.alias("_line"))
-    # Which lines matter is told by three patterns; what is in them is taken
-    # apart once, behind that filter.
+    # Lines without anything like a TAN or a dated section go first, told from
+    # the text as it is; what is in the others is taken apart once, pattern by
+    # pattern, and only then interpreted.
     section_form = SECTION_IN_TEXT_EXTENDED if extended else SECTION_IN_TEXT
-    has_tan = line.rlike(TAN_IN_TEXT) | line.rlike(SPLIT_TAN)
-    has_txn = line.rlike(STATEMENT_DATE_TOKEN) & line.rlike(section_form)
-    kept = read.filter(has_tan | has_txn).withColumn("_joined", repair_split_tan(line))
-    parts = kept.select(
+    text = F.col("text")
+    kept = lines.filter(text.rlike(TAN_LIKE) | (text.rlike(DATE_LIKE) & text.rlike(section_form)))
+    collapsed = F.trim(F.regexp_replace("text", " +", " "))
+    read = kept.select("file_id", _position().alias("line_no"), collapsed.alias("_line"))
+    joined = read.withColumn("_joined", repair_split_tan(F.col("_line")))
+    found = joined.select(
+        "file_id", "line_no",
+        F.regexp_extract("_joined", TAN_IN_TEXT, 1).alias("_tan"),
+        F.regexp_extract("_joined", BEFORE_TAN, 1).alias("_name"),
+        F.regexp_extract("_line", section_form, 1).alias("_section"),
+        F.regexp_extract("_line", STATEMENT_DATE_TOKEN, 1).alias("_day"),
+        statement_amounts(F.col("_line"), signed=extended).alias("_amounts"),
+    )
+    parts = found.select(
         "file_id", "line_no",
-        tan_in(joined).alias("_tan"),
-        deductor_name_before_tan(joined).alias("_name"),
-        F.when(line.rlike(STATEMENT_DATE_TOKEN), section_in(line, extended)).alias("_section"),
-        statement_date(line).alias("_date"),
-        statement_amounts(line, signed=extended).alias("_amounts"),
+        blank_to_null(F.col("_tan")).alias("_tan"),
+        without_labels(F.col("_name")).alias("_name"),
+        F.when(F.col("_day") != "", blank_to_null(F.upper("_section"))).alias("_section"),
+        statement_date(F.col("_day")).alias("_date"),
+        "_amounts",
     )
     marked = parts.select(
         "file_id", "line_no",
