@@ -424,7 +424,9 @@ def _(d: Domain):
         {"path": F.col("file_id"), "file_hash": F.sha2("file_id", 256)}
     )
     jobs.ingest_customers(store, sheet, files)
-    people = store.read("cust_master").agg(
-        F.countDistinct("pan_number").alias("customers"), F.countDistinct("cust_id").alias("tans")
-    ).withColumn("module_name", F.lit("customer_master"))
-    return store.read("file_uploads_log").select("module_name", "rows_imported").join(people, "module_name")
+    people = store.read("cust_master")
+    return store.read("file_uploads_log").select(
+        "module_name", "rows_imported",
+        people.agg(F.countDistinct("pan_number")).scalar().alias("customers"),
+        people.agg(F.countDistinct("tan_number")).scalar().alias("tans"),
+    )

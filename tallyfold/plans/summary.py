@@ -130,12 +130,11 @@ def section_by_name(
     """
     year = F.col("fin_year") == fy
     rows = statement.filter(year)
-    uploaded = (
-        uploads.filter(year & (F.col("module_name") == "form26as")).select("fin_year").limit(1)
-    )
+    logged = uploads.filter(year & (F.col("module_name") == "form26as")).limit(1)
+    uploaded = logged.agg(F.count(F.lit(1))).scalar()
     owners = customers.select(_collated("tan_number").alias("_tan"), F.col("cust_name").alias("name"))
     by_owner = (
-        rows.join(F.broadcast(uploaded), "fin_year", "left_semi")
+        rows.filter(uploaded > 0)
         .select(_collated("tan_of_deductor").alias("_tan"), F.col("section_code").alias("section"))
         .distinct()
         .join(owners, "_tan")
