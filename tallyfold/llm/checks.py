@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from tallyfold.llm import lines
 from tallyfold.llm.ngram_join import near_duplicate_groups
 from tallyfold.llm.tables import table
 
@@ -13,11 +15,23 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
 
-def query(fn: Callable[[SparkSession, str], DataFrame]):
+def query(fn: Callable[[SparkSession, str], DataFrame] | None = None, *, sql: str | None = None):
+    """Register a query under its function's name, with the SQL that must
+    return the same rows where SQL can express it."""
+    if fn is None:
+        return lambda f: query(f, sql=sql)
     QUERIES[fn.__name__] = fn
+    if sql:
+        SQL[fn.__name__] = sql
     return fn
 
 
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=85, words=4)
+
+
+@query(sql=lines.KEPT_SQL)
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
+    return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))

@@ -16,6 +16,7 @@ Every candidate is verified on its whole sets; no link is lost.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from tallyfold.llm.components import connected_components
 from tallyfold.llm.hashing import U, mix, salt, shingle_sets
 from tallyfold.llm.tables import stage, text_chunks, text_of
 
-# How many rows the list of a segment with at most one element is taken to
+# How many rows the list of a segment with at most two elements is taken to
 # hold, against one for any other: the cost model's only guess. It moves cost,
 # not results.
 WEAK_LIST = 200
@@ -60,15 +61,17 @@ class SegmentPlan:
         need = self.budget(high, high) + 1
         exact = need + -(-need // 10) + 1
         deletion = (need + 1) // 2
-        size = (low + high) / 2
+        size = (low + high) // 2
+        kept = min(exact, self.budget(size, min(high, self.largest_partner(size))) + 1)
 
         def weak(m: int) -> float:
-            p = 1 / m
-            return 1.0 if m >= size else (1 - p) ** size + size * p * (1 - p) ** (size - 1) if m > 1 else 0.0
+            """Expected segments of ``m`` with at most two of ``size`` elements."""
+            return sum(m * math.comb(size, k) * (1 / m) ** k * (1 - 1 / m) ** (size - k) for k in range(min(2, size) + 1)) if m > 1 else 0.0
 
         costs = {
-            "exact": exact * (1 + WEAK_LIST * weak(exact)),
-            "deletion": (size + deletion) * (1 + WEAK_LIST * weak(deletion) / 2),
+            # The weakest segments are the ones dropped.
+            "exact": kept + WEAK_LIST * max(0.0, weak(exact) - (exact - kept)),
+            "deletion": size + deletion + WEAK_LIST * weak(deletion),
         }
         kind = min(costs, key=costs.get)
         self._bands[b] = kind, exact if kind == "exact" else deletion
