@@ -8,7 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import lines
+from tallyfold.llm.decontam import contaminated_passages
+from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
+from tallyfold.llm.quality import fit_quality, graded, with_quality
 from tallyfold.llm.tables import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,11 +29,28 @@ def query(fn: Callable[[SparkSession, str], DataFrame] | None = None, *, sql: st
     return fn
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=85, words=4)
 
 
+@query
+def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
+
+
+@query
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = fit_quality(docs, graded(table(spark, sf_dir, "labels")))
+    return with_quality(docs, model).select("doc_id", "quality_score.*")
+
+
 @query(sql=lines.KEPT_SQL)
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)

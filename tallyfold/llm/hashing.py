@@ -52,25 +52,33 @@ def _power_tables(n: int) -> list[np.ndarray]:
     return _powers
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and row of every word of the rows that ``offsets`` cuts out of
-    ``data``, in order."""
+def word_spans(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """First byte, last byte and row of every word of the rows that
+    ``offsets`` cuts out of ``data``, in order."""
     n = len(data)
-    rows = len(offsets) - 1
-    if not n:
-        return np.zeros(0, U), np.zeros(0, np.int64)
     inside = ~SPACE[data]
     before, after = np.zeros(n, bool), np.zeros(n, bool)
     before[1:], after[:-1] = inside[:-1], inside[1:]
     before[offsets[:-1][offsets[:-1] < n]] = False
     after[offsets[1:][offsets[1:] > 0] - 1] = False
     start, end = np.flatnonzero(inside & ~before), np.flatnonzero(inside & ~after)
+    row = np.searchsorted(offsets, start, side="right") - 1
+    return start, end, np.minimum(row, len(offsets) - 2)
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hash of the lower-cased bytes of each span."""
+    n = len(data)
     up, down = _power_tables(n)
     sums = np.zeros(n + 1, U)
     np.cumsum(_BYTE[data] * up[:n], out=sums[1:])
-    hashes = mix((sums[end + 1] - sums[start]) * down[start])
-    row = np.searchsorted(offsets, start, side="right") - 1
-    return hashes, np.minimum(row, rows - 1)
+    return mix((sums[end + 1] - sums[start]) * down[start])
+
+
+def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and row of every word, in order."""
+    start, end, row = word_spans(data, offsets)
+    return span_hashes(data, start, end), row
 
 
 def shingles(hashes: np.ndarray, row: np.ndarray, rows: int, k: int) -> tuple[np.ndarray, np.ndarray]:
