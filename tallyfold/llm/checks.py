@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallyfold.llm import lines
+from tallyfold.llm import lines, pii
 from tallyfold.llm.decontam import contaminated_passages
+from tallyfold.llm.digest import edited_fingerprints
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
 from tallyfold.llm.quality import fit_quality, graded, with_quality
@@ -34,6 +35,22 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated_passages(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op2_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.personal_spans(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id",
+        *(pii.count_of(kind).alias(f"n_{kind}") for kind in pii.KINDS),
+        F.sha2(pii.written(kinds=pii.BASE_KINDS), 256).alias("base_sha256"),
+        pii.written().alias("spans"),
+    )
+
+
+@query
+def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return edited_fingerprints(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=85, words=4)

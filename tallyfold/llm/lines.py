@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tallyfold.llm.tables import stage, text_of
 
@@ -136,7 +137,7 @@ def _stream(min_docs: int, keep_first: bool):
     return run
 
 
-@F.pandas_udf("binary")
+@F.pandas_udf(T.BinaryType())
 def _bitmap(dropped: pd.Series) -> pd.Series:
     """Bit per line up to the last one dropped, 1 to keep; lines after it stay."""
 
@@ -148,7 +149,7 @@ def _bitmap(dropped: pd.Series) -> pd.Series:
     return dropped.map(pack)
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def _kept(text: pd.Series, bitmap: pd.Series) -> pd.Series:
     def join(line_text, packed):
         if packed is None or line_text is None:
