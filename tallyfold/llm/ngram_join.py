@@ -12,6 +12,11 @@ would hold next to nothing. Exact bands have spare segments; a set drops as
 many of its least telling segments (fewest elements) as the spare allows, by an order that both
 sides share, so the least dropped agreeing segment is kept on both sides.
 Every candidate is verified on its whole sets; no link is lost.
+
+A set also has a sketch: the parity of its elements in each of 1024 cells. Two
+sets differ in at least as many elements as their sketches do in cells, so a
+pair whose sketches differ by more than ``H`` is none, and the join drops it
+before it becomes a row.
 """
 
 from __future__ import annotations
@@ -33,6 +38,8 @@ from tallyfold.llm.tables import stage, text_chunks, text_of
 # hold, against one for any other: the cost model's only guess. It moves cost,
 # not results.
 WEAK_LIST = 200
+# Cells of a parity sketch.
+CELLS = 1024
 
 
 class SegmentPlan:
@@ -121,6 +128,12 @@ def node_of(own: np.ndarray) -> int:
     return int(np.int64(mix(np.array([mix(own).sum(dtype=U) + U(len(own))], U)).view(np.int64)[0])) or 1
 
 
+def sketch_of(own: np.ndarray) -> np.ndarray:
+    """Parity of the elements in each cell, as longs."""
+    odd = np.bincount((own & U(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
 def _marks(plan: SegmentPlan, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -130,14 +143,17 @@ def _marks(plan: SegmentPlan, words: int):
                 marks = [plan.signatures(s).view(np.int64) for s in sets]
                 cut = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
                 flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+                cells = np.concatenate([sketch_of(s) for s in sets])
+                even = (np.arange(len(sets) + 1) * (CELLS // 64)).astype(np.int32)
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([node_of(s) for s in sets], pa.int64()),
                         pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
+                        pa.ListArray.from_arrays(pa.array(even), pa.array(cells)),
                     ],
-                    names=["doc_id", "n_shingles", "node", "marks"],
+                    names=["doc_id", "n_shingles", "node", "marks", "sketch"],
                 )
 
     return run
@@ -159,10 +175,10 @@ def _sets(words: int):
 
 
 def shingle_marks(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_shingles, node, marks) per row: set size, hash of the set and
-    its signatures."""
+    """(doc_id, n_shingles, node, marks, sketch) per row: set size, hash of the
+    set, its signatures and its sketch."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
-    return chosen.mapInArrow(_marks(SegmentPlan(percent), words), "doc_id long, n_shingles long, node long, marks array<long>")
+    return chosen.mapInArrow(_marks(SegmentPlan(percent), words), "doc_id long, n_shingles long, node long, marks array<long>, sketch array<long>")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, percent: int, words: int, id_col: str, text_col: str) -> DataFrame:
@@ -200,9 +216,8 @@ def near_duplicate_groups(
     """
     marks = stage(shingle_marks(docs, percent, words, id_col, text_col), "marks")
     known = marks.filter("doc_id is not null and n_shingles > 0")
-    nodes = stage(
-        known.groupBy("node").agg(F.min("doc_id").alias("rep"), F.min_by("marks", "doc_id").alias("marks")), "nodes"
-    )
+    own = F.min_by(F.struct("n_shingles", "marks", "sketch"), "doc_id").alias("own")
+    nodes = stage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), own).select("node", "rep", "own.*"), "nodes")
     listed = nodes.select("node", F.explode("marks").alias("mark"))
     in_order = W.partitionBy("mark").orderBy("node")
     lists = (
@@ -220,11 +235,15 @@ def near_duplicate_groups(
 
     open_lists = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_marks = open_lists.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
-    rest = stage(open_lists.join(open_marks.select("mark"), "mark", "left_semi").select("mark", "node", "component"), "open-lists")
-    one = rest.select("mark", F.col("node").alias("a"), F.col("component").alias("ca"))
-    two = rest.select("mark", F.col("node").alias("b"), F.col("component").alias("cb"))
-    across = one.join(two, "mark").filter("ca < cb")
-    across = across.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    rest = open_lists.join(open_marks.select("mark"), "mark", "left_semi").select("mark", "node", "component")
+    sketches = nodes.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(CELLS // 64)))
+    rest = stage(rest.join(sketches, "node"), "open-lists")
+    one = rest.select("mark", *(F.col(c).alias(f"{c}_a") for c in rest.columns if c != "mark"))
+    two = rest.select("mark", *(F.col(c).alias(f"{c}_b") for c in rest.columns if c != "mark"))
+    apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(CELLS // 64)), F.lit(0))
+    near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
+    across = one.join(two, (one["mark"] == two["mark"]) & (F.col("component_a") < F.col("component_b")) & near)
+    across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     across = stage(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(across, nodes, docs, percent, words, id_col, text_col)
     # Rows of one id with different sets are one document.
