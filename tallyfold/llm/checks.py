@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from tallyfold.llm import lines, pii
 from tallyfold.llm.decontam import contaminated_passages
 from tallyfold.llm.digest import edited_fingerprints
+from tallyfold.llm.html import extract_text
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
 from tallyfold.llm.quality import fit_quality, graded, with_quality
@@ -51,6 +52,11 @@ def op3_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return edited_fingerprints(table(spark, sf_dir, "documents"))
 
 
+@query
+def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=85, words=4)
