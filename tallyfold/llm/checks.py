@@ -13,6 +13,7 @@ from tallyfold.llm.digest import edited_fingerprints
 from tallyfold.llm.html import extract_text
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
+from tallyfold.llm.ppm import score_texts
 from tallyfold.llm.quality import fit_quality, graded, with_quality
 from tallyfold.llm.tables import table
 from tallyfold.llm.urls import judge_urls
@@ -63,6 +64,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicate_groups(table(spark, sf_dir, "documents"), percent=85, words=4)
 
 
+@query
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op7_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix_sources(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken", "source")
