@@ -2,8 +2,8 @@
 
 The model is a trie of byte contexts of up to five bytes, counted over all
 training texts. A byte's probability comes from its longest context that has
-seen it; on the way down each context pays an escape (method C: kinds seen /
-(times seen + kinds)), and the symbols that a longer context has seen are
+seen it; on the way down each context pays an escape (method D: kinds seen /
+twice the times seen; a byte seen c times has (2c - 1) / twice), and the symbols that a longer context has seen are
 excluded in the shorter ones; below the empty context all bytes not seen are
 equal. Since the exclusions depend on the contexts alone, all sums are made
 once, and a text is scored by table look-ups.
@@ -104,7 +104,7 @@ class PartialMatching:
             start = np.flatnonzero(np.concatenate([[True], keys[1:] >> U(8) != keys[:-1] >> U(8)])) if len(keys) else np.zeros(0, np.int64)
             times = np.add.reduceat(n, start) if len(keys) else n
             kinds = np.diff(np.append(start, len(keys))).astype(np.float64)
-            node = {"key": keys[start] >> U(8), "enter": np.log10(times + kinds), "escape": np.log10(kinds / (times + kinds))}
+            node = {"key": keys[start] >> U(8), "enter": np.log10(2 * times), "escape": np.log10(kinds / (2 * times))}
             if k:
                 # What the next shorter context holds once this one's symbols are excluded.
                 shorter_keys, shorter_n = tables[k - 1]
@@ -113,12 +113,11 @@ class PartialMatching:
                 owner = np.searchsorted(self.nodes[k - 1]["key"], node["key"] & U((1 << 8 * (k - 1)) - 1))
                 rest_times = np.maximum(self.times[owner] - shared, 0.0)
                 rest_kinds = self.kinds[owner] - kinds
-                open_mass = rest_times + rest_kinds
-                some = open_mass > 0
-                node["rest"] = np.log10(np.where(some, open_mass, 1.0))
-                node["rest_escape"] = np.where(some & (rest_kinds > 0), np.log10(np.maximum(rest_kinds, 1.0) / np.where(some, open_mass, 1.0)), 0.0)
+                some = (rest_times > 0) & (rest_kinds > 0)
+                node["rest"] = np.log10(np.where(some, 2 * rest_times, 1.0))
+                node["rest_escape"] = np.where(some, np.log10(np.where(some, rest_kinds / np.where(some, 2 * rest_times, 1.0), 1.0)), 0.0)
             self.times, self.kinds = times, kinds
-            self.symbols.append((keys, np.log10(n) if len(n) else n))
+            self.symbols.append((keys, np.log10(2 * n - 1)))
             self.nodes.append(node)
         start_of = np.searchsorted(self.nodes[ORDER]["key"], grams >> U(8))
         self.seen = self.symbols[ORDER][1] - self.nodes[ORDER]["enter"][start_of] if len(grams) else counts
