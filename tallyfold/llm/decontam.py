@@ -1,6 +1,6 @@
 """Benchmark decontamination by the q-gram lemma.
 
-Texts and benchmark items are compared in a plain form (A-Z lower-cased, runs
+Texts and benchmark items are compared in a plain form (Latin capitals lower-cased, runs
 of anything but letters, digits and non-ASCII bytes turned into one space). An
 item is cut into overlapping windows. If a stretch of a document is within
 ``e`` edits of a window of length n, the two share at least n - q + 1 - q*e
@@ -43,6 +43,8 @@ _PLAIN[[b for b in range(128) if not (chr(b).isalnum())]] = 32
 def plain(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Plain form of the bytes, and where each of its bytes came from."""
     mapped = _PLAIN[data]
+    # Capitals of two-byte Latin letters (C3 80 to C3 9E, but for the multiplication sign).
+    mapped[1:][(data[:-1] == 0xC3) & (data[1:] >= 0x80) & (data[1:] <= 0x9E) & (data[1:] != 0x97)] += 32
     blank = mapped == 32
     keep = np.ones(len(data), bool)
     keep[1:] = ~(blank[1:] & blank[:-1])
