@@ -237,12 +237,15 @@ def near_duplicate_groups(
     open_marks = open_lists.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rest = open_lists.join(open_marks.select("mark"), "mark", "left_semi").select("mark", "node", "component")
     sketches = nodes.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(CELLS // 64)))
-    rest = stage(rest.join(sketches, "node"), "open-lists")
+    # Two nodes are compared in the first of the lists they share, and in no other.
+    shared = rest.groupBy("node").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
+    rest = stage(rest.join(sketches.join(shared, "node"), "node"), "open-lists")
     one = rest.select("mark", *(F.col(c).alias(f"{c}_a") for c in rest.columns if c != "mark"))
     two = rest.select("mark", *(F.col(c).alias(f"{c}_b") for c in rest.columns if c != "mark"))
     apart = sum((F.bit_count(F.col(f"s{k}_a").bitwiseXOR(F.col(f"s{k}_b"))) for k in range(CELLS // 64)), F.lit(0))
     near = (100 + percent) * apart <= (100 - percent) * (F.col("n_a") + F.col("n_b"))
-    across = one.join(two, (one["mark"] == two["mark"]) & (F.col("component_a") < F.col("component_b")) & near)
+    once = F.get(F.array_intersect("marks_a", "marks_b"), F.lit(0)) == one["mark"]
+    across = one.join(two, (one["mark"] == two["mark"]) & (F.col("component_a") < F.col("component_b")) & F.when(near, once))
     across = across.select(F.least("node_a", "node_b").alias("a"), F.greatest("node_a", "node_b").alias("b")).distinct()
     across = stage(across.join(stars, ["a", "b"], "left_anti"), "across")
     more = _verified(across, nodes, docs, percent, words, id_col, text_col)
