@@ -406,7 +406,7 @@ def _(d: Domain):
         {"path": F.col("file_id"), "file_hash": F.sha2("file_id", 256)}
     )
     parsed = statement_files.parse_statement_text(text)
-    jobs.store_statement(store, jobs.admit(store, files), parsed)
+    jobs.store_statement(store, jobs.admit(store, files), parsed, fy_mode="first_row")
     return store.read("income_records")
 
 

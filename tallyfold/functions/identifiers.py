@@ -121,10 +121,22 @@ def unmatched_reason(tan: Column, pan: Column) -> Column:
 
 
 def contains_any(needle: str, *cols: Column) -> Column:
-    """Case-insensitive LIKE '%needle%' over any of the columns."""
+    """Whether any of the columns matches SQL's ``LIKE '%needle%'``, without
+    regard to case; ``%`` and ``_`` in the needle are wildcards, a backslash is
+    itself."""
+    pattern = "%" + needle.replace("\\", "\\\\") + "%"
     found = F.lit(False)
     for col in cols:
-        found = found | F.coalesce(col.ilike(f"%{needle}%"), F.lit(False))
+        found = found | F.coalesce(col.ilike(pattern), F.lit(False))
+    return found
+
+
+def includes_any(needle: str, *cols: Column) -> Column:
+    """Whether any of the columns holds the needle as it stands, without regard
+    to case."""
+    found = F.lit(False)
+    for col in cols:
+        found = found | F.coalesce(F.contains(F.lower(col), F.lower(F.lit(needle))), F.lit(False))
     return found
 
 

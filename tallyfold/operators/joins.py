@@ -13,25 +13,6 @@ from pyspark.sql import functions as F
 HOT_SHARE = 1000
 
 
-def plan_bytes(df: DataFrame) -> int | None:
-    """Optimizer's size estimate of a frame: scan sizes for tables, an upper
-    bound for what is derived from them. None where it cannot be read."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except AttributeError:
-        return None
-
-
-def fits_broadcast(df: DataFrame) -> bool:
-    """True when Spark's own size rule would broadcast the frame."""
-    spark = df.sparkSession
-    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
-    limit_bytes = int(spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)) \
-        if not limit.lstrip("-").isdigit() else int(limit)
-    size = plan_bytes(df)
-    return size is not None and 0 <= size <= limit_bytes
-
-
 def hot_keys(counts: DataFrame, on: Sequence[str], n: str = "n") -> DataFrame:
     """Keys above the hot share, with the number of slices each is cut into.
 
@@ -52,10 +33,9 @@ def lookup_join(
 ) -> DataFrame:
     """Equi-join a fact to a lookup that is unique on the keys, ``left`` or ``inner``.
 
-    A lookup that fits a broadcast is left to Catalyst: the fact is not
-    shuffled at all. Otherwise it is a sort-merge join, whose oversized
-    partitions adaptive execution splits at run time (see the session
-    settings); counting keys beforehand would mean computing the fact twice.
+    Catalyst picks the join; the oversized partitions of a sort-merge join are
+    split by adaptive execution at run time (see the session settings), and
+    counting keys beforehand would mean computing the fact twice.
 
     A caller that has rows per key anyway passes them as ``counts``: the rows
     of each hot key are then cut into slices by a hash of ``spread_by``
@@ -64,7 +44,7 @@ def lookup_join(
     key match nothing and are spread the same way.
     """
     on = list(on)
-    if counts is None or fits_broadcast(dim):
+    if counts is None:
         return fact.join(dim, on, how)
     hot = F.broadcast(hot_keys(counts.dropna(subset=on), on))
     hashed = F.xxhash64(*spread_by)

@@ -11,19 +11,24 @@ from pyspark.sql import functions as F
 MAX_PAGE_SIZE = 500
 
 
-def clamp(page: int, per_page: int) -> tuple[int, int]:
-    return max(1, int(page)), min(MAX_PAGE_SIZE, max(1, int(per_page)))
-
-
-def page_of(df: DataFrame, order: Sequence[Column], page: int = 1, per_page: int = 100) -> DataFrame:
-    """One page. ``order`` ends in a unique column, so pages never overlap."""
-    page, per_page = clamp(page, per_page)
+def clamp(page: int, per_page: int, most: int | None = MAX_PAGE_SIZE) -> tuple[int, int]:
+    """Page number and size within bounds; ``most`` None sets no largest size."""
+    size = max(1, int(per_page))
+    return max(1, int(page)), size if most is None else min(most, size)
+
+
+def page_of(
+    df: DataFrame, order: Sequence[Column], page: int = 1, per_page: int = 100, most: int | None = None
+) -> DataFrame:
+    """One page. ``order`` ends in a unique column, so pages never overlap.
+    A list with a largest page size names it as ``most``."""
+    page, per_page = clamp(page, per_page, most)
     return df.orderBy(*order).offset((page - 1) * per_page).limit(per_page)
 
 
-def page_total(df: DataFrame, page: int = 1, per_page: int = 100) -> DataFrame:
+def page_total(df: DataFrame, page: int = 1, per_page: int = 100, most: int | None = None) -> DataFrame:
     """total, page, per_page and pages of the unpaged frame, as one row."""
-    page, per_page = clamp(page, per_page)
+    page, per_page = clamp(page, per_page, most)
     total = F.count(F.lit(1))
     pages = F.greatest(F.ceil(total / per_page), F.lit(1)).cast("long")
     return df.agg(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import between_days, second_text
-from tallyfold.functions.identifiers import NO_VALUE, code_of, contains_any
+from tallyfold.functions.identifiers import NO_VALUE, code_of, contains_any, includes_any
 
 COLUMNS = [
     "log_id", "timestamp", "user_name", "action_type",
@@ -50,7 +50,7 @@ def audit_inline_search(logs: DataFrame, text: str) -> DataFrame:
     if not text:
         return logs
     wanted = [F.col(c) for c in ("description", "user_name", "module_name", "action_type")]
-    return logs.filter(contains_any(text, *wanted))
+    return logs.filter(includes_any(text, *wanted))
 
 
 def audit_cards(logs: DataFrame) -> DataFrame:

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import fiscal_quarter, fiscal_year, parse_any_date
@@ -32,8 +32,6 @@ from tallyfold.plans.matching import match_customers, resolve_deductors
 from tallyfold.plans.rates import rates_for_booking
 from tallyfold.sources.landing import META, POSITION, with_position
 
-# Fixed value: rows of a ledger looked at for its fiscal year.
-YEAR_PROBE_ROWS = 10
 NO_SOURCE = ["", "none", "—", "-"]
 
 
@@ -73,17 +71,18 @@ def normalise_ledger(rows: DataFrame) -> DataFrame:
     )
 
 
+def _place(wanted: Column) -> Column:
+    """A row's position in its file where ``wanted`` holds. One number for both
+    parts of the position keeps a grouping by it a hash aggregation."""
+    wide = "decimal(38,0)"
+    place = F.col("line_block").cast(wide) * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("line_no").cast(wide)
+    return F.when(wanted, place.cast(wide))
+
+
 def ledger_years(ledger: DataFrame) -> DataFrame:
-    """Fiscal year of each file: the first date found in its first ten rows."""
-    order = Window.partitionBy("file_id").orderBy(*POSITION)
-    probe = (
-        ledger.select("file_id", *POSITION, "doc_date")
-        .withColumn("_n", F.row_number().over(order))
-        .filter(F.col("_n") <= YEAR_PROBE_ROWS)
-    )
-    seen = F.when(F.col("doc_date").isNotNull(), F.col("_n"))
-    first = F.min_by("doc_date", seen)
-    return probe.groupBy("file_id").agg(
+    """Fiscal year of each file: that of its first row with a date."""
+    first = F.min_by("doc_date", _place(F.col("doc_date").isNotNull()))
+    return ledger.groupBy("file_id").agg(
         fiscal_year(first).alias("fin_year"), fiscal_quarter(first).alias("quarter")
     )
 
@@ -191,18 +190,16 @@ STATEMENT_KEY = ["tan_of_deductor", "section_code", "transaction_date", "tds_cre
 
 def statement_years(parsed: DataFrame) -> DataFrame:
     """Fiscal year and quarter of each file, from its first transaction."""
-    # One number for both parts of the position keeps this a hash aggregation.
-    wide = "decimal(38,0)"
-    place = F.col("line_block").cast(wide) * F.lit(str(2**63)).cast("decimal(19,0)") + F.col("line_no").cast(wide)
-    first = F.min_by("transaction_date", F.when(F.col("transaction_date").isNotNull(), place.cast(wide)))
+    first = F.min_by("transaction_date", _place(F.col("transaction_date").isNotNull()))
     return parsed.groupBy("file_id").agg(
         fiscal_year(first).alias("fin_year"), fiscal_quarter(first).alias("quarter")
     )
 
 
-def classify_statement(parsed: DataFrame, customers: DataFrame, fy_mode: str = "first_row") -> DataFrame:
+def classify_statement(parsed: DataFrame, customers: DataFrame, fy_mode: str = "per_row") -> DataFrame:
     """Statement rows as stored, with outcome ``rejected`` where section, date
-    or an amount is missing. ``fy_mode`` per_row dates every row by itself."""
+    or an amount is missing. Every row has the year of its own date;
+    ``fy_mode`` first_row gives all rows of a file that of its first."""
     resolved = resolve_deductors(parsed, customers)
     if fy_mode == "per_row":
         dated = resolved.withColumn("fin_year", fiscal_year(F.col("transaction_date")))

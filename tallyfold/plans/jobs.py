@@ -14,13 +14,14 @@ from datetime import UTC, datetime
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.functions.identifiers import key_of
 from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.keyed import assign_ids
 from tallyfold.plans import ingest
 from tallyfold.plans.assess import reassess_tax
 from tallyfold.plans.audit import override_event
 from tallyfold.plans.overrides import valid_overrides
-from tallyfold.plans.uploads import hash_of, ledger_rows, new_files
+from tallyfold.plans.uploads import FAILED, hash_of, ledger_rows, new_files
 from tallyfold.sources import landing, statement_files
 from tallyfold.sources.warehouse import Store, stage
 
@@ -66,25 +67,23 @@ def _log(store: Store, files: DataFrame, counts: DataFrame, module: str, event:
     store.append("file_uploads_log", rows.withColumns({"uploaded_by": F.lit(SYSTEM_USER), "uploaded_at": now}))
 
 
-def reassess_years(store: Store, years: Sequence[str]) -> None:
-    """Reassess the given fiscal years in place."""
+def reassess_customers(store: Store, whose: DataFrame) -> None:
+    """Reassess the invoices of some customers and years (cust_id, fin_year) in
+    place. Limits are per customer, year and section, so the partitions that
+    hold these customers are read and rewritten, and no others."""
+    touched = stage(store.partitions_of("income_records", whose.dropna(subset=["cust_id", "fin_year"])), "reassessed")
+    years = [r[0] for r in touched.select("fin_year").distinct().collect()]
     if not years:
         return
-    books = store.read("income_records").filter(F.col("fin_year").isin(list(years)))
     done = reassess_tax(
-        books,
+        store.in_partitions("income_records", touched).select(*store.schemas["income_records"].names),
         store.read("cust_master"),
-        store.read("form26as_records").filter(F.col("fin_year").isin(list(years))),
+        store.read("form26as_records").filter(F.col("fin_year").isin(years)),
         store.read("tds_codes_master"),
     )
     store.replace_partitions("income_records", done)
 
 
-def years_of(df: DataFrame) -> list[str]:
-    """Fiscal years of a change: a handful of values."""
-    return [r[0] for r in df.select("fin_year").distinct().collect() if r[0]]
-
-
 def ingest_books(store: Store, paths: Sequence[str], fin_year: str = "") -> DataFrame:
     """Ledger text files to stored invoices; counts per file."""
     files = fresh_files(store, paths)
@@ -115,10 +114,10 @@ def _store_books(store: Store, files: DataFrame, frames: list[DataFrame], fin_ye
     years = ingest.ledger_years(classified.select(*landing.META, "doc_date"))
     if fin_year:
         years = years.withColumn("fin_year", F.lit(fin_year))
-    years = stage(years, "years")
-    undated = years.filter(F.col("fin_year").isNull())
-    if undated.limit(1).count():
-        raise ValueError("could not detect the fiscal year from the document dates")
+    failed = F.when(F.col("fin_year").isNull(), FAILED)
+    years = stage(years.withColumn("upload_status", failed), "years")
+    # A file without any date is logged as failed; the others go on.
+    classified = classified.join(years.filter(F.col("upload_status") == FAILED), "file_id", "left_anti")
     counts = stage(ingest.book_counts(classified, store.read("income_records")), "counts")
     ref = F.lit(f"BOOKS-{uuid.uuid4().hex[:8].upper()}")
     accepted = stage(
@@ -130,12 +129,12 @@ def _store_books(store: Store, files: DataFrame, frames: list[DataFrame], fin_ye
     # Keyed by upload: a job that is run again replaces its own rows.
     entries = stage(lookup_join(numbered, files.select("file_id", "upload_id"), ["file_id"]), "unmatched")
     store.replace_by_key("unreferenced_entries", entries, ["upload_id"])
-    reassess_years(store, years_of(accepted))
-    _log(store, files, counts.join(years, "file_id"), "books_of_accounts", ingest.books_event(counts, years))
+    reassess_customers(store, accepted.select("cust_id", "fin_year"))
+    _log(store, files, years.join(counts, "file_id", "left"), "books_of_accounts", ingest.books_event(counts, years))
     return counts
 
 
-def ingest_statement_text(store: Store, paths: Sequence[str], fy_mode: str = "first_row") -> DataFrame:
+def ingest_statement_text(store: Store, paths: Sequence[str], fy_mode: str = "per_row") -> DataFrame:
     """Statement text files to stored credits; counts per file."""
     files = fresh_files(store, paths)
     fresh = _paths(files)
@@ -145,7 +144,7 @@ def ingest_statement_text(store: Store, paths: Sequence[str], fy_mode: str = "fi
     return store_statement(store, files, parsed, fy_mode)
 
 
-def store_statement(store: Store, files: DataFrame, parsed: DataFrame, fy_mode: str = "first_row") -> DataFrame:
+def store_statement(store: Store, files: DataFrame, parsed: DataFrame, fy_mode: str = "per_row") -> DataFrame:
     """Parsed transactions of any layout to stored credits."""
     parsed = stage(parsed, "parsed")
     years = stage(ingest.statement_years(parsed), "years")
@@ -153,7 +152,11 @@ def store_statement(store: Store, files: DataFrame, parsed: DataFrame, fy_mode:
     fresh = stage(ingest.new_statement_rows(classified, store.read("form26as_records")), "new-statement")
     counts = stage(ingest.statement_counts(classified, fresh), "counts")
     store.append("form26as_records", ingest.statement_rows(fresh, store.max_id("form26as_records", "record_id")))
-    reassess_years(store, years_of(fresh))
+    # All accepted rows, not only the ones added now: a run that died after the
+    # append finds nothing new when it is repeated, and still has to reassess.
+    said = classified.filter(F.col("outcome") == "accepted").select(key_of(F.col("tan_of_deductor")).alias("tan"), "fin_year").distinct()
+    owners = store.read("cust_master").select("cust_id", key_of(F.col("tan_number")).alias("tan"))
+    reassess_customers(store, said.join(owners, "tan").select("cust_id", "fin_year"))
     _log(store, files, counts.join(years, "file_id"), "form26as", ingest.statement_event(counts, years))
     return counts
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.functions.dates import fiscal_year_param
-from tallyfold.functions.identifiers import NO_VALUE, contains_any, key_of
+from tallyfold.functions.identifiers import NO_VALUE, contains_any, includes_any, key_of
 from tallyfold.functions.matching import variance_class, variance_sign
 from tallyfold.functions.money import money_sum, or_zero, pct_credit
 from tallyfold.plans.recon import statement_totals
@@ -215,7 +215,7 @@ def summary_inline_filter(report: DataFrame, search: str = "", variance: str = "
     rows = report
     if search:
         wanted = ["cust_name", "pan_number", "tan_number", "tds_section"]
-        rows = rows.filter(contains_any(search, *[F.col(c) for c in wanted]))
+        rows = rows.filter(includes_any(search, *[F.col(c) for c in wanted]))
     if variance in ("match", "under", "over"):
         rows = rows.filter(variance_class(F.col("variance_amt")) == variance)
     return rows
@@ -227,7 +227,7 @@ def summary_selection(report: DataFrame, customer: str = "", section: str = "")
     rows = report
     if customer and customer.lower() != "all":
         by_id = F.col("cust_id").cast("string") == customer
-        rows = rows.filter(by_id | contains_any(customer, F.col("cust_name")))
+        rows = rows.filter(by_id | includes_any(customer, F.col("cust_name")))
     if section and section.lower() != "all":
         rows = rows.filter(F.lower("tds_section") == section.lower())
     return rows

@@ -10,6 +10,8 @@ from tallyfold.functions.identifiers import file_extension
 from tallyfold.functions.money import size_kb
 from tallyfold.operators.keyed import first_per_key
 
+FAILED = "failed"
+
 
 def upload_history(uploads: DataFrame, module: str = "", fin_year: str = "") -> DataFrame:
     rows = uploads
@@ -45,23 +47,28 @@ def hash_of(content: Column) -> Column:
 
 
 def new_files(files: DataFrame, ledger: DataFrame, order: list[str]) -> DataFrame:
-    """Files whose content is not in the ledger; of equal files in the batch
-    the first by ``order``. Needs ``file_hash`` on both sides."""
-    unseen = files.join(ledger.select("file_hash").distinct(), "file_hash", "left_anti")
+    """Files whose content is not in the ledger, or only as a failed upload; of
+    equal files in the batch the first by ``order``. Needs ``file_hash`` on
+    both sides."""
+    done = ledger.filter(F.col("upload_status") != FAILED) if "upload_status" in ledger.columns else ledger
+    unseen = files.join(done.select("file_hash").distinct(), "file_hash", "left_anti")
     return first_per_key(unseen, ["file_hash"], [F.col(c) for c in order])
 
 
 def ledger_rows(files: DataFrame, counts: DataFrame, module: str) -> DataFrame:
     """One upload-ledger row per file: ``files`` has upload_id, file_id,
-    file_hash, size_bytes; ``counts`` has file_id, fin_year, quarter, rows_imported."""
+    file_hash, size_bytes; ``counts`` has file_id, fin_year, quarter,
+    rows_imported, and upload_status where files may have failed. Files are told
+    apart by their path; the ledger shows their name."""
+    status = F.coalesce("upload_status", F.lit("success")) if "upload_status" in counts.columns else F.lit("success")
     return files.join(counts, "file_id", "left").select(
         "upload_id",
-        F.col("file_id").alias("file_name"),
+        F.element_at(F.split("file_id", "/"), -1).alias("file_name"),
         "file_hash",
         "fin_year",
         "quarter",
         size_kb(F.col("size_bytes")).alias("file_size_kb"),
-        F.lit("success").alias("upload_status"),
+        status.alias("upload_status"),
         F.coalesce("rows_imported", F.lit(0)).cast("long").alias("rows_imported"),
         F.lit(module).alias("module_name"),
     )

@@ -6,6 +6,7 @@ default that ``spark-submit --conf`` may override.
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -52,12 +53,16 @@ _own_scratch: dict[str, str] = {}
 def scratch_root(spark: SparkSession) -> str:
     """Folder every executor can reach, for staged tables and checkpoints.
 
-    The cluster names it in ``spark.checkpoint.dir``; a temporary folder of
-    this machine is used only when that is unset, as in tests.
+    The cluster names it in ``spark.checkpoint.dir``. Where that is unset, a
+    session whose executors run in this process gets a temporary folder, as in
+    tests; any other raises, since its executors would each write to a disk of
+    their own.
     """
     root = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if root:
         return root.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     app = spark.sparkContext.applicationId
     if app not in _own_scratch:
         _own_scratch[app] = tempfile.mkdtemp(prefix="tallyfold-")

@@ -30,7 +30,8 @@ def with_position(df: DataFrame) -> DataFrame:
 
 def _file_columns() -> list[Column]:
     return [
-        F.col("_metadata.file_name").alias("file_id"),
+        # The whole path: files of one name in two folders are two files.
+        F.col("_metadata.file_path").alias("file_id"),
         F.col("_metadata.file_block_start").alias("line_block"),
         F.monotonically_increasing_id().alias("line_no"),
     ]
@@ -149,6 +150,6 @@ def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Whole files as bytes, for hashing: file_id, path, size_bytes, content."""
     files = spark.read.format("binaryFile").load(list(paths))
     return files.select(
-        F.element_at(F.split("path", "/"), -1).alias("file_id"),
+        F.col("_metadata.file_path").alias("file_id"),
         "path", F.col("length").alias("size_bytes"), "content",
     )

@@ -135,8 +135,26 @@ class Store:
         return df.withColumns(self._derived(name)).select(*PARTITIONS[name]).distinct()
 
     def in_partitions(self, name: str, touched: DataFrame) -> DataFrame:
-        """Rows of the touched partitions only; the others are not read."""
-        return self._read_all(name).join(touched, PARTITIONS[name], "left_semi")
+        """Rows of the touched partitions only. These are named one by one in
+        the plan (at most years x buckets of them), so the scan lists and reads
+        no other folder."""
+        first, *others = PARTITIONS[name]
+        by_first: dict = {}
+        for row in touched.select(first, *others).distinct().collect():
+            by_first.setdefault(row[0], []).append(row[1:])
+
+        def is_in(column: str, values: list) -> Column:
+            known = [v for v in values if v is not None]
+            found = F.col(column).isin(known) if known else F.lit(False)
+            return found | F.col(column).isNull() if len(known) < len(values) else found
+
+        wanted = F.lit(False)
+        for value, rest in by_first.items():
+            own = is_in(first, [value])
+            for k, column in enumerate(others):
+                own = own & is_in(column, [r[k] for r in rest])
+            wanted = wanted | own
+        return self._read_all(name).filter(wanted)
 
     def merge(
         self,
@@ -155,8 +173,14 @@ class Store:
         self.replace_partitions(name, merged, touched)
 
     def replace_by_key(self, name: str, delta: DataFrame, keys: Sequence[str]) -> None:
-        """Delete rows with a key of the delta wherever they are, add the delta."""
-        hit = self._read_all(name).join(delta.select(*keys), list(keys), "left_semi")
+        """Delete rows with a key of the delta wherever they are, add the delta.
+        A key that has the customer tells the bucket, so only the delta's
+        buckets are searched, in all years."""
+        stored = self._read_all(name)
+        if "cust_bucket" in PARTITIONS[name] and "cust_id" in keys:
+            buckets = delta.withColumns(self._derived(name)).select("cust_bucket").distinct()
+            stored = stored.filter(F.col("cust_bucket").isin([r[0] for r in buckets.collect()]))
+        hit = stored.join(delta.select(*keys), list(keys), "left_semi")
         touched = self.partitions_of(name, hit).union(self.partitions_of(name, delta)).distinct()
         touched = stage(touched, f"touched-{name}")
         current = self.in_partitions(name, touched).select(*self.schemas[name].names)

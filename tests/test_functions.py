@@ -158,6 +158,14 @@ def test_between_days_is_inclusive(spark):
     assert "cast(t" not in plan
 
 
+def test_includes_any_takes_the_needle_as_it_stands(spark):
+    df = spark.createDataFrame([("user_1",), ("userX1",), ("50%",), ("a\\b",), (None,)], "a string")
+    for needle, found in (("USER_1", ["user_1"]), ("0%", ["50%"]), ("a\\B", ["a\\b"]), ("r", ["userX1", "user_1"])):
+        assert sorted(r[0] for r in df.filter(identifiers.includes_any(needle, F.col("a"))).collect()) == found
+    assert [r[0] for r in df.filter(identifiers.contains_any("a\\b", F.col("a"))).collect()] == ["a\\b"]
+    assert df.filter(identifiers.contains_any("r_1", F.col("a"))).count() == 2
+
+
 def test_contains_any_treats_null_as_no_match(spark):
     df = spark.createDataFrame([("Alpha", None), (None, "beta"), (None, None)], "a string, b string")
     assert rows(df.filter(identifiers.contains_any("A", F.col("a"), F.col("b")))) == [("Alpha", None), (None, "beta")]

@@ -52,9 +52,9 @@ def write(folder, name, text):
 
 def test_books_upload(spark, store, tmp_path):
     paths = [write(tmp_path / "in", "a.txt", TAB_FILE), write(tmp_path / "in", "b.txt", COMMA_FILE)]
-    counts = {r["file_id"]: r.asDict() for r in jobs.ingest_books(store, paths).collect()}
+    counts = {r["file_id"].rsplit("/", 1)[-1]: r.asDict() for r in jobs.ingest_books(store, paths).collect()}
     assert counts["a.txt"] == {
-        "file_id": "a.txt", "inserted": 2, "refreshed": 1, "unmatched": 3, "rejected": 2, "skipped": 3, "rows_imported": 5,
+        "file_id": f"file:{paths[0]}", "inserted": 2, "refreshed": 1, "unmatched": 3, "rejected": 2, "skipped": 3, "rows_imported": 5,
     }
     assert counts["b.txt"]["inserted"] == 1
     books = {r["doc_number"]: r for r in store.read("income_records").collect()}
@@ -83,11 +83,48 @@ def test_books_upload(spark, store, tmp_path):
     assert not list((tmp_path / "tables" / "income_records" / "fin_year=2023-24").rglob("*.parquet"))
 
 
-def test_undated_ledger_is_refused(store, tmp_path):
-    path = write(tmp_path / "in", "x.txt", "code\tdoc_no\tdate\nC001\tINV-1\tnever\n")
-    with pytest.raises(ValueError):
-        jobs.ingest_books(store, [path])
-    assert store.read("income_records").count() == 0
+def test_undated_ledger_fails_alone(store, tmp_path):
+    bad = write(tmp_path / "in", "x.txt", "code\tdoc_no\tdate\nC001\tINV-1\tnever\n")
+    good = write(tmp_path / "in", "y.txt", "code\tdoc_no\tdate\ttaxable\tgross\nC001\tINV-2\t2024-05-01\t7\t7\n")
+    jobs.ingest_books(store, [bad, good])
+    assert [r["doc_number"] for r in store.read("income_records").collect()] == ["INV-2"]
+    log = {r["file_name"]: (r["upload_status"], r["rows_imported"]) for r in store.read("file_uploads_log").collect()}
+    assert log == {"x.txt": ("failed", 0), "y.txt": ("success", 1)}
+    # A failed file may be tried again; one that is stored may not.
+    assert [r["file_id"] for r in jobs.fresh_files(store, [bad, good]).collect()] == [f"file:{bad}"]
+
+
+def test_files_of_one_name_are_two_files(store, tmp_path):
+    head = "code\tdoc_no\tdate\ttaxable\tgross\n"
+    paths = [
+        write(tmp_path / "a", "x.txt", head + "C001\tINV-1\t2024-05-01\t7\t7\nnobody\tU-1\t2024-05-01\t1\t1\n"),
+        write(tmp_path / "b", "x.txt", head + "C002\tINV-2\t2023-05-01\t8\t8\nnobody\tU-2\t2023-05-01\t1\t1\n"),
+    ]
+    jobs.ingest_books(store, paths)
+    assert sorted(r["doc_number"] for r in store.read("income_records").collect()) == ["INV-1", "INV-2"]
+    entries = store.read("unreferenced_entries").collect()
+    assert sorted(r["doc_number"] for r in entries) == ["U-1", "U-2"] and len({r["unref_id"] for r in entries}) == 2
+    log = store.read("file_uploads_log").collect()
+    assert [(r["file_name"], r["rows_imported"]) for r in log] == [("x.txt", 2)] * 2
+    assert {r["fin_year"] for r in log} == {"2024-25", "2023-24"}
+
+
+def test_a_statement_that_died_before_the_reassessment(store, tmp_path, monkeypatch):
+    books = write(tmp_path / "in", "books.txt", "code\tdoc_no\tdate\ttaxable\tgross\nC001\tINV-1\t2024-04-15\t40000\t40000\n")
+    jobs.ingest_books(store, [books])
+    path = write(tmp_path / "in", "s.txt", STATEMENT_FILE)
+
+    def die(*_):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(jobs, "reassess_customers", die)
+        with pytest.raises(RuntimeError):
+            jobs.ingest_statement_text(store, [path])
+    jobs.ingest_statement_text(store, [path])
+    invoice = store.read("income_records").first()
+    assert (invoice["tds_section"], invoice["tds_deductible"]) == ("194J", D("4000.00"))
+    assert store.read("form26as_records").count() == 3
 
 
 STATEMENT_FILE = (

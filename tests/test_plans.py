@@ -1,5 +1,6 @@
 """Shapes of physical plans: what reaches the scan, what is shuffled."""
 
+import datetime
 import re
 
 from conftest import SMALL, rows
@@ -51,9 +52,12 @@ def test_assessment_joins_invoices_once(domain):
     assert any("taxable" in s for s in scans)
 
 
-def test_year_probe_limits_rows_per_task(spark):
-    data = spark.createDataFrame([("f", 0, i, None) for i in range(30)], "file_id string, line_block long, line_no long, doc_date date")
-    assert plan_of(ingest.ledger_years(data)).count("WindowGroupLimit") == 2
+def test_year_of_a_file_is_a_grouping_over_all_rows(spark):
+    days = [("f", 0, i, datetime.date(2023, 5, 1) if i >= 25 else None) for i in range(30)] + [("g", 0, 0, None)]
+    data = spark.createDataFrame(days, "file_id string, line_block long, line_no long, doc_date date")
+    years = ingest.ledger_years(data)
+    assert "Window" not in plan_of(years)
+    assert {r["file_id"]: r["fin_year"] for r in years.collect()} == {"f": "2023-24", "g": None}
 
 
 def test_no_sort_before_hash_aggregates(domain):
