@@ -41,7 +41,7 @@ class Lookup:
 
     def __init__(self, keys: np.ndarray):
         hashed = keys * U(0x9E3779B97F4A7C15)
-        self.order = np.argsort(hashed)
+        self.order = np.argsort(hashed).astype(np.int32)
         self.hashed = hashed[self.order]
         self.bits = max(1, int(len(keys)).bit_length())
         bucket = (self.hashed >> U(64 - self.bits)).astype(np.int64)
@@ -121,6 +121,8 @@ class PartialMatching:
             self.nodes.append(node)
         start_of = np.searchsorted(self.nodes[ORDER]["key"], grams >> U(8))
         self.seen = self.symbols[ORDER][1] - self.nodes[ORDER]["enter"][start_of] if len(grams) else counts
+        # Whoever asks for a byte below the longest contexts knows it is in none of them.
+        self.symbols[ORDER] = grams[:0], counts[:0]
         self.unseen = -np.log10(256.0 - len(tables[0][0]))
         del self.times, self.kinds
 
@@ -147,8 +149,12 @@ class PartialMatching:
             there = node_keys[node] == context
             keys, logs = self.symbols[k]
             gram = own & U((1 << 8 * (k + 1)) - 1)
-            symbol = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
-            found = there & (keys[symbol] == gram)
+            if k < ORDER:
+                symbol = np.minimum(np.searchsorted(keys, gram), len(keys) - 1)
+                found = there & (keys[symbol] == gram)
+                used = logs[symbol]
+            else:
+                found, used = np.zeros(len(own), bool), np.zeros(len(own))
             first = above[open_rows] < 0
             if k < ORDER:
                 up = self.nodes[k + 1]
@@ -157,7 +163,7 @@ class PartialMatching:
                 rest = rest_escape = np.zeros(len(own))
             step = np.where(
                 found,
-                logs[symbol] - np.where(first, self.nodes[k]["enter"][node], rest),
+                used - np.where(first, self.nodes[k]["enter"][node], rest),
                 np.where(first, self.nodes[k]["escape"][node], rest_escape),
             )
             out[open_rows[there]] += step[there]
