@@ -21,7 +21,6 @@ before it becomes a row.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,7 +33,7 @@ from tallyfold.llm.components import connected_components
 from tallyfold.llm.hashing import U, mix, salt, shingle_sets
 from tallyfold.llm.tables import stage, text_chunks, text_of
 
-# How many rows the list of a segment with at most two elements is taken to
+# How many rows the list of a segment with at most one element is taken to
 # hold, against one for any other: the cost model's only guess. It moves cost,
 # not results.
 WEAK_LIST = 200
@@ -72,8 +71,8 @@ class SegmentPlan:
         kept = min(exact, self.budget(size, min(high, self.largest_partner(size))) + 1)
 
         def weak(m: int) -> float:
-            """Expected segments of ``m`` with at most two of ``size`` elements."""
-            return sum(m * math.comb(size, k) * (1 / m) ** k * (1 - 1 / m) ** (size - k) for k in range(min(2, size) + 1)) if m > 1 else 0.0
+            """Expected segments of ``m`` with at most one of ``size`` elements."""
+            return m * (1 - 1 / m) ** size + size * (1 - 1 / m) ** (size - 1) if m > 1 else 0.0
 
         costs = {
             # The weakest segments are the ones dropped.
@@ -134,24 +133,35 @@ def sketch_of(own: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
+def _lists(rows: list[np.ndarray]) -> pa.ListArray:
+    cut = np.concatenate([[0], np.cumsum([len(r) for r in rows])]).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(cut), pa.array(np.concatenate(rows) if rows else np.zeros(0, np.int64)))
+
+
 def _marks(plan: SegmentPlan, words: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
         for batch in batches:
             ids, texts = batch.columns
             for first, end, data, offsets in text_chunks(texts):
                 sets = shingle_sets(data, offsets, words)
-                marks = [plan.signatures(s).view(np.int64) for s in sets]
-                cut = np.concatenate([[0], np.cumsum([len(m) for m in marks])]).astype(np.int32)
-                flat = np.concatenate(marks) if marks else np.zeros(0, np.int64)
-                cells = np.concatenate([sketch_of(s) for s in sets])
-                even = (np.arange(len(sets) + 1) * (CELLS // 64)).astype(np.int32)
+                nodes = [node_of(s) for s in sets]
+                # Of equal sets in a task the first alone is indexed.
+                new = []
+                for k, node in enumerate(nodes):
+                    if node and node not in seen:
+                        seen.add(node)
+                        new.append(k)
+                marks, cells = [np.zeros(0, np.int64)] * len(sets), [np.zeros(0, np.int64)] * len(sets)
+                for k in new:
+                    marks[k], cells[k] = plan.signatures(sets[k]).view(np.int64), sketch_of(sets[k])
                 yield pa.RecordBatch.from_arrays(
                     [
                         ids.slice(first, end - first),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array([node_of(s) for s in sets], pa.int64()),
-                        pa.ListArray.from_arrays(pa.array(cut), pa.array(flat)),
-                        pa.ListArray.from_arrays(pa.array(even), pa.array(cells)),
+                        pa.array(nodes, pa.int64()),
+                        _lists(marks),
+                        _lists(cells),
                     ],
                     names=["doc_id", "n_shingles", "node", "marks", "sketch"],
                 )
@@ -164,10 +174,8 @@ def _sets(words: int):
         for batch in batches:
             for _, _, data, offsets in text_chunks(batch.columns[0]):
                 sets = shingle_sets(data, offsets, words)
-                cut = np.concatenate([[0], np.cumsum([len(s) for s in sets])]).astype(np.int32)
-                flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([node_of(s) for s in sets], pa.int64()), pa.ListArray.from_arrays(pa.array(cut), pa.array(flat))],
+                    [pa.array([node_of(s) for s in sets], pa.int64()), _lists([s.view(np.int64) for s in sets])],
                     names=["node", "elements"],
                 )
 
@@ -176,7 +184,8 @@ def _sets(words: int):
 
 def shingle_marks(docs: DataFrame, percent: int = 80, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_shingles, node, marks, sketch) per row: set size, hash of the
-    set, its signatures and its sketch."""
+    set, its signatures and its sketch (both empty for all but one of the equal
+    sets in a task)."""
     chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return chosen.mapInArrow(_marks(SegmentPlan(percent), words), "doc_id long, n_shingles long, node long, marks array<long>, sketch array<long>")
 
@@ -216,27 +225,23 @@ def near_duplicate_groups(
     """
     marks = stage(shingle_marks(docs, percent, words, id_col, text_col), "marks")
     known = marks.filter("doc_id is not null and n_shingles > 0")
-    own = F.min_by(F.struct("n_shingles", "marks", "sketch"), "doc_id").alias("own")
-    nodes = stage(known.groupBy("node").agg(F.min("doc_id").alias("rep"), own).select("node", "rep", "own.*"), "nodes")
-    listed = nodes.select("node", F.explode("marks").alias("mark"))
+    nodes = stage(known.groupBy("node").agg(F.min("doc_id").alias("rep")), "nodes")
+    # Rows of a null id are indexed too, if theirs is the first of its set; they only cost a comparison.
+    listed = marks.select("node", F.explode("marks").alias("mark"))
     in_order = W.partitionBy("mark").orderBy("node")
-    lists = (
-        listed.withColumn("centre", F.first("node").over(in_order))
-        .withColumn("before", F.lag("node").over(in_order))
-        .withColumn("after", F.lead("node").over(in_order))
-        .filter("before is not null or after is not null")
-        .select("mark", "node", "centre")
-    )
-    lists = stage(lists, "lists")
+    members = listed.withColumns({"centre": F.first("node").over(in_order), "before": F.lag("node").over(in_order)})
+    members = stage(members.filter("before != node").select("mark", "node", "centre"), "lists")
+    lists = members.unionByName(members.select("mark", F.col("centre").alias("node"), "centre").distinct())
 
-    stars = stage(lists.filter("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
+    stars = stage(members.select(F.col("centre").alias("a"), F.col("node").alias("b")).distinct(), "stars")
     links = stage(_verified(stars, nodes, docs, percent, words, id_col, text_col), "links")
     groups = connected_components(links)
 
     open_lists = lists.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     open_marks = open_lists.groupBy("mark").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
     rest = open_lists.join(open_marks.select("mark"), "mark", "left_semi").select("mark", "node", "component")
-    sketches = nodes.select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(CELLS // 64)))
+    sketches = marks.filter(F.size("sketch") > 0).select("node", F.col("n_shingles").alias("n"), *(F.col("sketch")[k].alias(f"s{k}") for k in range(CELLS // 64)))
+    sketches = sketches.join(rest.select("node").distinct(), "node", "left_semi").dropDuplicates(["node"])
     # Two nodes are compared in the first of the lists they share, and in no other.
     shared = rest.groupBy("node").agg(F.sort_array(F.collect_list("mark")).alias("marks"))
     rest = stage(rest.join(sketches.join(shared, "node"), "node"), "open-lists")
