@@ -100,9 +100,22 @@ def _start(store: Store, table: str, id_col: str) -> int:
     return max(get_mark(store, table), store.max_id(table, id_col))
 
 
+def _drop_gone(store: Store, table: str, current: DataFrame, keys: list[str]) -> None:
+    """Remove stored rows whose keys the current table has no more, from the
+    partitions that hold them."""
+    gone = stage(insert_absent(current, store.read(table), keys), f"gone-{table}")
+    touched = stage(store.partitions_of(table, gone), f"touched-{table}")
+    kept = store.in_partitions(table, touched).join(gone.select(*keys), keys, "left_anti")
+    store.replace_partitions(table, kept, touched)
+
+
 # --------------------------------------------------------------- table syncs
 
-def sync_books(store: Store, books: DataFrame, customers: DataFrame, legacy: bool = False) -> dict[str, int]:
+def sync_books(
+    store: Store, books: DataFrame, customers: DataFrame, legacy: bool = False, delete_missing: bool = False
+) -> dict[str, int]:
+    """Append new invoices, update changed ones; with ``delete_missing`` those
+    that a later upload superseded go."""
     last = _start(store, "income_records", "income_id")
     current = books_with_customer(books, customers)
     stored = store.read("income_records")
@@ -119,6 +132,8 @@ def sync_books(store: Store, books: DataFrame, customers: DataFrame, legacy: boo
     if merged:
         store.merge("income_records", changed, ["income_id", "fin_year"], updates, insert=False)
     added = _append_new(store, "income_records", newer_than(current, "income_id", last), "income_id")
+    if delete_missing:
+        _drop_gone(store, "income_records", current, ["income_id", "fin_year"])
     return {"appended": added, "merged": merged}
 
 
@@ -152,10 +167,7 @@ def sync_customers(
         store.merge("cust_master", changed, ["cust_id"], CUSTOMER_UPDATES, insert=False)
     added = _append_new(store, "cust_master", newer_than(current, "cust_id", last), "cust_id")
     if delete_missing:
-        gone = stage(insert_absent(current, store.read("cust_master"), ["cust_id"]), "gone-customers")
-        touched = store.partitions_of("cust_master", gone)
-        kept = store.in_partitions("cust_master", touched).join(gone.select("cust_id"), "cust_id", "left_anti")
-        store.replace_partitions("cust_master", kept, touched)
+        _drop_gone(store, "cust_master", current, ["cust_id"])
     return {"appended": added, "merged": merged}
 
 
@@ -185,13 +197,15 @@ def sync_summary(
     return {"appended": added, "merged": merged}
 
 
-def sync_all(store: Store, tables: dict[str, DataFrame], legacy: bool = False) -> DataFrame:
+def sync_all(
+    store: Store, tables: dict[str, DataFrame], legacy: bool = False, delete_missing: bool = False
+) -> DataFrame:
     """The five syncs in turn; appended and merged rows per table."""
     customers, books, statement = (tables[t] for t in ("cust_master", "income_records", "form26as_records"))
     results = {
-        "income_records": sync_books(store, books, customers, legacy),
+        "income_records": sync_books(store, books, customers, legacy, delete_missing),
         "form26as_records": sync_statement(store, statement, customers),
-        "cust_master": sync_customers(store, customers, legacy),
+        "cust_master": sync_customers(store, customers, legacy, delete_missing),
         "audit_logs": sync_audit(store, tables["audit_logs"]),
         "tds_summary": sync_summary(store, customers, books, statement, legacy),
     }

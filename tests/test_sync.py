@@ -88,6 +88,17 @@ def test_deleted_customers_go_only_on_request(store, tables):
     assert store.read("cust_master").count() == fewer.count()
 
 
+def test_superseded_invoices_leave_the_warehouse(store, tables):
+    books, people = tables["income_records"].filter("income_id < 300"), tables["cust_master"]
+    sync.sync_books(store, books, people)
+    # A re-upload replaces invoices by new ones with new ids.
+    again = books.filter("income_id % 7 <> 0").unionByName(
+        books.filter("income_id % 7 = 0").withColumn("income_id", F.col("income_id") + 10_000_000)
+    )
+    sync.sync_books(store, again, people, delete_missing=True)
+    assert rows(store.read("income_records"), "income_id", "doc_number") == rows(sync.books_with_customer(again, people), "income_id", "doc_number")
+
+
 def test_legacy_mode_ignores_changes_of_other_columns(store, tables):
     args = (tables["cust_master"], tables["income_records"], tables["form26as_records"])
     sync.sync_summary(store, *args)
