@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.hashing import LOWER, U
-from tallyfold.llm.tables import text_chunks, text_of
+from tallyfold.llm.tables import bounded_batches, text_chunks, text_of
 
 Q = 12
 WINDOW = 96
@@ -253,7 +253,7 @@ def contaminated_passages(
     gives no rows. Other columns are ignored.
     """
     schema = "doc_id long, item_id long, n_windows long, edits long, start long, end long"
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
 
     def search(index):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -287,6 +287,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "te
 
         return flag
 
+    bounded_batches(docs)
     for index in item_blocks(benchmark, item_col, item_text_col):
         docs = docs.filter(clean(index)(text_of(text_col)))
     return docs

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallyfold.llm.hashing import U, mix
-from tallyfold.llm.tables import text_of
+from tallyfold.llm.tables import bounded_batches, text_of
 
 BUCKETS = 256
 # Offsets of the triplets within a window of five bytes that start at its first.
@@ -152,7 +152,7 @@ def edited_fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         own = np.searchsorted(cuts, k.to_numpy(), side="right")
         return pd.Series([[b, host[x]] if x in host else [b] for x, b in zip(k.tolist(), own.tolist(), strict=True)])
 
-    rows = docs.select(ids.alias("doc_id"), text_of(text_col).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(least)))
+    rows = bounded_batches(docs).select(ids.alias("doc_id"), text_of(text_col).alias("text")).withColumn("k", F.coalesce("doc_id", F.lit(least)))
     dealt = rows.select("doc_id", "k", "text", F.posexplode(places("k")).alias("guest", "bucket"))
     dealt = dealt.repartition("bucket").sortWithinPartitions("bucket", "guest", "k", "text")
     return dealt.select("bucket", "guest", "doc_id", "text").mapInArrow(_edited, out)

@@ -44,7 +44,7 @@ _powers: list[np.ndarray] = [np.ones(1, U), np.ones(1, U)]
 
 def _power_tables(n: int) -> list[np.ndarray]:
     if len(_powers[0]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 18)
         for k, base in enumerate((_BASE, _INVERSE)):
             steps = np.full(size, base, U)
             steps[0] = 1

@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallyfold.llm.tables import bounded_batches
+
 # Elements whose content is no text of the page.
 SKIPPED = frozenset("script style noscript template title textarea select svg math iframe object button canvas audio video map".split())
 # Elements that end a block.
@@ -303,5 +305,5 @@ def extract_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url"
                 names=["page_id", "url", "text", "n_chars"],
             )
 
-    chosen = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
+    chosen = bounded_batches(pages).select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).cast("string").alias("url"), F.col(html_col).cast("string").alias("html"))
     return chosen.mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tallyfold.llm.tables import stage, text_of
+from tallyfold.llm.tables import bounded_batches, stage, text_of
 
 # What is stripped from a line's ends, and the letters that are lower-cased.
 BLANKS = " \t\n\x0b\x0c\r"
@@ -200,7 +200,7 @@ def drop_repeated_lines(
     bitmaps = line_bitmaps(docs, min_docs, min_chars, keep_first, id_col, text_col)
     bitmaps = bitmaps.select(*(F.col(c).alias(f"__line_{c}") for c in bitmaps.columns))
     doc, txt = _identity(id_col, text_col)
-    own = docs.withColumns({"__doc": doc, "__txt": txt})
+    own = bounded_batches(docs).withColumns({"__doc": doc, "__txt": txt})
     joined = own.join(bitmaps, (F.col("__doc") == F.col("__line_doc")) & (F.col("__txt") == F.col("__line_txt")), "left")
     text = text_of(text_col)
     touched = F.col("__line_bitmap").isNotNull()

@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from tallyfold.llm.components import connected_components
 from tallyfold.llm.hashing import U, mix, salt, shingle_sets
-from tallyfold.llm.tables import stage, text_chunks, text_of
+from tallyfold.llm.tables import bounded_batches, stage, text_chunks, text_of
 
 # How many rows the list of a segment with at most one element is taken to
 # hold, against one for any other: the cost model's only guess. It moves cost,
@@ -186,7 +186,7 @@ def shingle_marks(docs: DataFrame, percent: int = 80, words: int = 5, id_col: st
     """(doc_id, n_shingles, node, marks, sketch) per row: set size, hash of the
     set, its signatures and its sketch (both empty for all but one of the equal
     sets in a task)."""
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return chosen.mapInArrow(_marks(SegmentPlan(percent), words), "doc_id long, n_shingles long, node long, marks array<long>, sketch array<long>")
 
 

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallyfold.llm.tables import text_of
+from tallyfold.llm.tables import bounded_batches, text_of
 
 # Fixed value: the kinds in their order; the first four are the base kinds.
 KINDS = ("email", "ip", "card", "phone", "url", "account", "secret")
@@ -138,7 +138,7 @@ def personal_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
             values = pa.array([[dict(zip(("kind", "start", "end"), s, strict=True)) for s in one] for one in own], pa.list_(_SPAN_TYPE))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], names=["doc_id", "spans"])
 
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     return chosen.mapInArrow(find, f"doc_id long, spans {_SPAN}")
 
 

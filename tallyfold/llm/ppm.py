@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.hashing import LOWER, U, words
-from tallyfold.llm.tables import stage, text_chunks, text_of
+from tallyfold.llm.tables import bounded_batches, stage, text_chunks, text_of
 
 # Bytes of the longest context.
 ORDER = 5
@@ -349,7 +349,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     are ignored.
     """
     ids, text = F.col(id_col).cast("long"), text_of(text_col)
-    rows = docs.select(
+    rows = bounded_batches(docs).select(
         ids.alias("doc_id"),
         F.coalesce(ids, F.lit(-(2**63))).alias("doc"),
         F.xxhash64(text).alias("txt"),

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tallyfold.llm.hashing import U, mix, span_hashes, word_spans
-from tallyfold.llm.tables import text_chunks, text_of
+from tallyfold.llm.tables import bounded_batches, text_chunks, text_of
 
 WORD_BITS, SHAPE_BITS = 13, 10
 # Rated documents that the model is fitted on at most: those with the least
@@ -138,7 +138,7 @@ def fit_quality(docs: DataFrame, grades: DataFrame, max_rated: int = MAX_RATED,
     """The model fitted on at most ``max_rated`` rated documents; none if no
     document is rated."""
     sample = grades.select("doc_id", "grade").distinct().orderBy(F.xxhash64("doc_id", "grade"), "doc_id", "grade").limit(max_rated)
-    chosen = docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+    chosen = bounded_batches(docs).select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
     rated = chosen.join(F.broadcast(sample), "doc_id").select(F.col("grade").cast("int").alias("grade"), "text")
     # Ids may repeat among the documents; the bound holds for their rows, too.
     rated = rated.orderBy(F.xxhash64("text", "grade")).limit(2 * max_rated)

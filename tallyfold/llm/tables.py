@@ -24,12 +24,23 @@ def table(spark, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+# Bytes of texts that go to Python at a time, about; longer texts go alone.
+BATCH_BYTES = 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """The frame, in a session whose Arrow batches are bounded by bytes and not
+    by rows alone: ten thousand long texts would fill a worker's memory."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def text_of(column: str = "text"):
     """Null text counts as empty."""
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 
 
-def text_chunks(column: pa.Array, limit: int = 1 << 20) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+def text_chunks(column: pa.Array, limit: int = 1 << 18) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
     """Runs of rows whose UTF-8 bytes stay near ``limit``: first row, end row,
     their bytes and the row offsets within them. A longer text comes alone and
     whole, so memory follows the longest text and not the batch."""
