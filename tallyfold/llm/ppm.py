@@ -6,7 +6,13 @@ seen it; on the way down each context pays an escape (method D: kinds seen /
 twice the times seen; a byte seen c times has (2c - 1) / twice), and the symbols that a longer context has seen are
 excluded in the shorter ones; below the empty context all bytes not seen are
 equal. Since the exclusions depend on the contexts alone, all sums are made
-once, and a text is scored by table look-ups.
+once.
+
+No gram is dropped, and the grams never meet on one machine. A text is scored
+by look-ups for the frequent grams, whose probabilities are one table of fixed
+size. All others it asks for by a shuffle: grams are dealt by the two nearest
+bytes of their context, so a task has whole all contexts of two bytes and more
+that end in them; the shorter ones are at most 65,536 pairs and go to all.
 
 Beside it stands a word model (add-one unigrams), whose counts never meet on
 one machine: the counts of frequent words are one short table, rare words are
@@ -19,7 +25,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tallyfold.llm.hashing import LOWER, U, words
@@ -27,9 +33,10 @@ from tallyfold.llm.tables import bounded_batches, stage, text_chunks, text_of
 
 # Bytes of the longest context.
 ORDER = 5
-# Entries of the trie that are broadcast at most (about 30 MB). Of more, the
-# rarest go, and what they stood for is reached by escapes like anything unseen.
+# Frequent grams whose probabilities are broadcast at most (about 50 MB). Which grams these are moves cost, not results.
 MOST_GRAMS = 1 << 21
+# Grams that one task holds of those dealt out, about.
+TASK_GRAMS = 1 << 19
 # Words whose counts are kept together, taken from about so many documents. Which words these are moves cost, not results.
 FREQUENT, SAMPLE_DOCS = 1 << 15, 4000
 # What stands before a text, and the symbol after it, which no UTF-8 text holds.
@@ -88,9 +95,11 @@ def byte_stream(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
 
 
 class PartialMatching:
-    """The trie's tables, from sorted (gram, count)."""
+    """The trie's tables, from sorted (gram, count). Where these are the grams
+    of some nearest two bytes of context only, ``pairs`` has the sorted (context
+    byte and symbol, count) of all."""
 
-    def __init__(self, grams: np.ndarray, counts: np.ndarray):
+    def __init__(self, grams: np.ndarray, counts: np.ndarray, pairs: tuple[np.ndarray, np.ndarray] | None = None):
         self.top = Lookup(grams)
         counts = counts.astype(np.float64)
         self.symbols: list[tuple[np.ndarray, np.ndarray]] = []
@@ -99,6 +108,8 @@ class PartialMatching:
         for k in range(ORDER - 1, -1, -1):
             keys, inverse = np.unique(tables[k + 1][0] & U((1 << 8 * (k + 1)) - 1), return_inverse=True)
             tables[k] = keys, np.bincount(inverse, tables[k + 1][1], len(keys))
+            if k == 1 and pairs is not None:
+                tables[k] = pairs
         for k in range(ORDER + 1):
             keys, n = tables[k]
             start = np.flatnonzero(np.concatenate([[True], keys[1:] >> U(8) != keys[:-1] >> U(8)])) if len(keys) else np.zeros(0, np.int64)
@@ -230,7 +241,9 @@ def _rare_words(frequent: np.ndarray):
         for batch in batches:
             doc, txt, train = (batch.column(k).to_numpy(zero_copy_only=False) for k in (0, 1, 3))
             for begin, _, data, offsets in text_chunks(batch.column(2)):
-                keys, row, n = _by_row(*words(data, offsets), lookup)
+                hashes, row = words(data, offsets)
+                rare = lookup.find(hashes) < 0
+                keys, row, n = _by_row(hashes[rare], row[rare])
                 row = row + begin
                 columns = [keys.view(np.int64), doc[row], txt[row], n, np.where(train[row], n, 0)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["h", "doc", "txt", "n", "trained"])
@@ -238,9 +251,7 @@ def _rare_words(frequent: np.ndarray):
     return run
 
 
-def _by_row(hashes: np.ndarray, row: np.ndarray, lookup: Lookup) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    rare = lookup.find(hashes) < 0
-    hashes, row = hashes[rare], row[rare]
+def _by_row(hashes: np.ndarray, row: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     order = np.lexsort((hashes, row))
     hashes, row = hashes[order], row[order]
     start = np.flatnonzero(np.concatenate([[True], (hashes[1:] != hashes[:-1]) | (row[1:] != row[:-1])])) if len(row) else np.zeros(0, np.int64)
@@ -284,15 +295,14 @@ def _corrections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _scores(model: dict, frequent: np.ndarray, logs: np.ndarray, known: np.ndarray):
     """Per row: words, known words and log10(count + 1) summed as far as it can
-    tell alone, and the byte model's score."""
+    tell alone, the byte model's score of the frequent grams, and the other grams
+    with the times it has them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         lookup = Lookup(frequent)
-        trie = PartialMatching.__new__(PartialMatching)
-        tables = dict(model.value)
         top = Lookup.__new__(Lookup)
-        top.__dict__ = tables.pop("top")
-        trie.__dict__ = {**tables, "top": top}
+        top.__dict__ = model.value["top"]
+        seen = np.append(model.value["seen"], 0.0)  # the last is that of position -1
         for batch in batches:
             train = batch.column(5).to_numpy(zero_copy_only=False)
             for begin, end, data, offsets in text_chunks(batch.column(3)):
@@ -302,38 +312,67 @@ def _scores(model: dict, frequent: np.ndarray, logs: np.ndarray, known: np.ndarr
                 often = at >= 0
                 total = np.bincount(row[often], logs[at[often]], rows)
                 n_known = np.bincount(row[often], known[at[often]], rows)
-                _, rare_row, n = _by_row(hashes, row, lookup)
+                _, rare_row, n = _by_row(hashes[~often], row[~often])
                 own = train[begin:end][rare_row]
                 total += np.bincount(rare_row, np.where(own, n * np.log10(n + 1.0), 0.0), rows)
                 n_known += np.bincount(rare_row, np.where(own, n, 0), rows)
                 grams, start = byte_stream(data, offsets)
-                score = np.add.reduceat(trie.log10(grams), start)
+                at = top.find(grams)
+                score = np.add.reduceat(seen[at], start)
+                rare = np.flatnonzero(at < 0)
+                keys, rare_row, n = _by_row(grams[rare], np.searchsorted(start, rare, side="right") - 1)
+                cut = pa.array(np.searchsorted(rare_row, np.arange(rows + 1)).astype(np.int32))
                 columns = [pa.array(x) for x in (np.bincount(row, minlength=rows).astype(np.int64), n_known.astype(np.int64), total, score)]
+                columns += [pa.ListArray.from_arrays(cut, pa.array(x)) for x in (keys.view(np.int64), n)]
                 yield pa.RecordBatch.from_arrays(
                     [*(batch.column(k).slice(begin, rows) for k in (0, 1, 2, 4)), *columns],
-                    names=["doc_id", "doc", "txt", "held_out", "n_words", "n_known", "total", "score"],
+                    names=["doc_id", "doc", "txt", "held_out", "n_words", "n_known", "total", "score", "key", "n"],
                 )
 
     return run
 
 
+def _rare_grams(pairs):
+    """(document, score) of the grams that documents ask for. A task's rows are
+    the counted grams of its contexts, then the ones asked for."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counted: list[tuple[np.ndarray, np.ndarray]] = []
+        trie = None
+        for batch in batches:
+            asked, key, n, doc, txt = (c.to_numpy(zero_copy_only=False) for c in batch.columns)
+            first = int(np.searchsorted(asked, 1))
+            if first:
+                counted.append((key[:first].view(U), n[:first]))
+            if first == len(key):
+                continue
+            if trie is None:
+                keys, counts = (np.concatenate([c[k] for c in counted]) if counted else np.zeros(0, (U, np.int64)[k]) for k in (0, 1))
+                order = np.argsort(keys)
+                trie = PartialMatching(keys[order], counts[order], pairs.value)
+                counted.clear()
+            score = n[first:] * trie.log10(key[first:].view(U))
+            yield pa.RecordBatch.from_arrays([pa.array(doc[first:]), pa.array(txt[first:]), pa.array(score)], names=["doc", "txt", "score"])
+
+    return run
+
+
 def fit_trie(counts: DataFrame, most: int = MOST_GRAMS) -> dict:
-    """Tables of the trie from (key, n) grams; the counts' histogram finds the
-    least count whose grams fit."""
-    kept = counts
-    sizes = {int(r[0]): int(r[1]) for r in counts.groupBy(F.least("n", F.lit(10_000)).alias("n")).count().collect()}
-    if sum(sizes.values()) > most:
-        total, cut = 0, 10_001
-        for n in sorted(sizes, reverse=True):
-            if total + sizes[n] > most:
-                break
-            total, cut = total + sizes[n], n
-        kept = counts.filter(F.col("n") >= cut)
-    found = kept.toArrow()
-    grams = found.column("key").to_numpy().view(U)
-    order = np.argsort(grams)
-    trie = PartialMatching(grams[order], found.column("n").to_numpy()[order])
-    return {**vars(trie), "top": vars(trie.top)}
+    """Look-up of the frequent grams among (key, n) and their log10
+    probabilities, which follow from all grams of their contexts; the counts'
+    histogram, finer than a twentieth, finds the least count whose grams fit.
+    ``grams`` is how many there are in all."""
+    level = F.floor(F.log2("n") * 16)
+    sizes = {int(r[0]): int(r[1]) for r in counts.groupBy(level.alias("level")).count().collect()}
+    total, cut = 0, max(sizes, default=0) + 1
+    for n in sorted(sizes, reverse=True):
+        if total + sizes[n] > most:
+            break
+        total, cut = total + sizes[n], n
+    times = F.sum("n").over(Window.partitionBy(F.shiftright("key", 8)))  # of a context: 256 rows at most
+    found = counts.withColumn("times", times).filter(level >= cut).toArrow()
+    grams, n, times = (found.column(c).to_numpy() for c in ("key", "n", "times"))
+    return {"top": vars(Lookup(grams.view(U))), "seen": np.log10(2.0 * n - 1) - np.log10(2.0 * times), "grams": sum(sizes.values())}
 
 
 def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -365,19 +404,31 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
     counted = rows.filter("train").select("text").mapInArrow(_count(frequent), "kind int, key long, n long")
     counts = stage(counted.groupBy("kind", "key").agg(F.sum("n").alias("n")), "counts")
-    trie = sc.broadcast(fit_trie(counts.filter(F.col("kind") == GRAM).select("key", "n")))
+    grams = counts.filter(F.col("kind") == GRAM).select("key", "n")
+    trie = fit_trie(grams)
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-trie["grams"] // TASK_GRAMS))
+    trie = sc.broadcast(trie)
+    pairs = grams.groupBy(F.col("key").bitwiseAND(0xFFFF).alias("key")).agg(F.sum("n").alias("n")).sort("key").toArrow()
+    pairs = sc.broadcast((pairs.column("key").to_numpy().view(U), pairs.column("n").to_numpy().astype(np.float64)))
     known = {r[0]: r[1] for r in counts.filter(F.col("kind") == WORD).select("key", "n").collect()}
     often = np.array([known.get(int(k), 0) for k in frequent.view(np.int64)], np.int64)
     scored = rows.select("doc_id", "doc", "txt", "text", "held_out", "train").mapInArrow(
         _scores(trie, frequent, np.log10(often + 1.0), (often > 0).astype(np.int64)),
-        "doc_id long, doc long, txt long, held_out boolean, n_words long, n_known long, total double, score double",
+        "doc_id long, doc long, txt long, held_out boolean, n_words long, n_known long, total double, score double, key array<long>, n array<long>",
     )
     scored = stage(scored, "scores")
 
     rare = rows.select("doc", "txt", "text", "train").mapInArrow(_rare_words(frequent), "h long, doc long, txt long, n long, trained long")
     dealt = rare.repartition("h").sortWithinPartitions("h")
     offs = dealt.mapInArrow(_corrections, "doc long, txt long, delta double, known long, words long")
-    sums = offs.groupBy("doc", "txt").agg(F.sum("delta").alias("delta"), F.sum("known").alias("known"), F.sum("words").alias("words"))
+
+    asked = scored.select("doc", "txt", F.explode(F.arrays_zip("key", "n")).alias("gram")).select(F.lit(1).alias("asked"), "gram.key", "gram.n", "doc", "txt")
+    none = F.lit(0).cast("long")
+    both = grams.select(F.lit(0).alias("asked"), "key", "n", none.alias("doc"), none.alias("txt")).unionByName(asked)
+    dealt = both.repartition(tasks, F.shiftright("key", 8).bitwiseAND(0xFFFF)).sortWithinPartitions("asked")
+    rest = dealt.mapInArrow(_rare_grams(pairs), "doc long, txt long, score double")
+    rest = rest.select("doc", "txt", F.lit(0.0).alias("delta"), none.alias("known"), none.alias("words"), F.col("score").alias("rest"))
+    sums = offs.withColumn("rest", F.lit(0.0)).unionByName(rest).groupBy("doc", "txt").agg(*(F.sum(c).alias(c) for c in ("delta", "known", "words", "rest")))
     sums = stage(sums, "corrections")
 
     trained = scored.filter("not held_out").agg(F.sum("n_words"), F.count("*")).first()
@@ -389,7 +440,7 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     copies = scored.groupBy("doc", "txt").agg(F.count("*").alias("copies"))
     per_row = sums.filter("doc is not null").join(copies, ["doc", "txt"])
     per_row = per_row.select(
-        F.col("doc").alias("d"), F.col("txt").alias("t"), (F.col("delta") / F.col("copies")).alias("delta"), (F.col("known") / F.col("copies")).cast("long").alias("more")
+        F.col("doc").alias("d"), F.col("txt").alias("t"), (F.col("delta") / F.col("copies")).alias("delta"), (F.col("known") / F.col("copies")).cast("long").alias("more"), (F.col("rest") / F.col("copies")).alias("rest")
     )
     joined = scored.join(per_row, (F.col("doc") == F.col("d")) & (F.col("txt") == F.col("t")), "left")
     tokens = F.col("n_words") + 1
@@ -402,5 +453,5 @@ def score_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
         (F.col("n_known") + F.coalesce("more", zero) + F.lit(1 if ends else 0)).alias("n_known"),
         F.lit(n).cast("long").alias("train_tokens"),
         base.alias("base_score"),
-        "score",
+        (F.col("score") + F.coalesce("rest", F.lit(0.0))).alias("score"),
     )

@@ -461,6 +461,24 @@ def test_a_full_trie_drops_its_rarest(spark):
     assert len(model["top"]["order"]) == 20
 
 
+def test_scores_need_no_gram_among_the_frequent(spark, messy, monkeypatch):
+    rows = [(r[0], r[1] or "") for r in messy.collect()] + [(k, f"свое слово {k} " * 3, None)[:2] for k in range(900, 930)]
+    rows += [rows[-1]] * 2
+
+    def stream(texts):
+        raw = [t.encode() for t in texts]
+        return ppm.byte_stream(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]))
+
+    held = [i is not None and zlib.crc32(str(i).encode()) % 7 == 2 for i, _ in rows]
+    model = ppm.PartialMatching(*np.unique(stream([t for (_, t), h in zip(rows, held, strict=True) if not h])[0], return_counts=True))
+    want = sorted((str(i), float(model.log10(stream([t])[0]).sum())) for i, t in rows)
+    for most in (0, 60, 1 << 21):
+        monkeypatch.setattr(ppm.fit_trie, "__defaults__", (most,))
+        got = sorted((str(r["doc_id"]), r["score"]) for r in ppm.score_texts(frame(spark, [(i, t, None) for i, t in rows])).collect())
+        assert [g[0] for g in got] == [w[0] for w in want]
+        assert all(math.isclose(g[1], w[1], rel_tol=1e-9) for g, w in zip(got, want, strict=True))
+
+
 def test_shingles_of_short_texts():
     raw = [b"a b c", b"A  B\tC", b"a b", b"", b" "]
     sets = shingle_sets(np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(r) for r in raw])]), 4)
