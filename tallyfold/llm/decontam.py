@@ -209,8 +209,12 @@ class ItemIndex:
             return np.zeros(0, np.int64)
         low = np.searchsorted(offsets, first, side="right") - 1
         high = np.searchsorted(offsets, first + width + self.length[which], side="right") - 1
-        rows = np.unique(np.concatenate([low, high, (low + high) // 2]))
-        return rows[(rows >= 0) & (rows < len(offsets) - 1)]
+        # All rows in between but those too short for any window; a blank may have gone at either end.
+        rows = np.flatnonzero(np.diff(offsets) + 2 >= int((self.length - self.edits).min()))
+        begin = np.searchsorted(rows, low)
+        count = np.searchsorted(rows, high, side="right") - begin
+        inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        return np.unique(rows[np.repeat(begin, count) + inner])
 
     def rows(self, column: pa.Array) -> Iterator[tuple[int, dict[int, tuple[int, int, int, int]]]]:
         """(row, matches by item with code-point spans) of the rows that have any."""

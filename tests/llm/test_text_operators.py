@@ -243,6 +243,17 @@ def test_edited_passages(spark, benchmark):
     assert {(i, i) for i, _ in items} <= {(r["doc_id"], r["item_id"]) for r in got.collect()}
 
 
+@pytest.mark.parametrize("empties", [2, 3, 40])
+def test_a_short_item_beside_empty_texts_is_found(spark, empties):
+    item = "the seven small boats left a quiet harbour at dawn"
+    items = spark.createDataFrame([(1, item)], "item_id long, text string")
+    texts = ["some other text before it", item, *["", None, "a"] * empties, item.upper(), *[""] * empties, "and a text that comes after"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    want = {k for k, t in enumerate(texts) if t and t.lower() == item}
+    assert {r["doc_id"] for r in decontam.contaminated_passages(docs, items).collect()} == want
+    assert {r["doc_id"] for r in decontam.drop_contaminated(docs, items).select("doc_id").collect()} == set(range(len(texts))) - want
+
+
 def test_decontamination_of_messy_tables(spark, messy, empty, benchmark):
     assert decontam.contaminated_passages(messy, benchmark).count() == 0
     assert decontam.drop_contaminated(messy, benchmark).count() == messy.count()
