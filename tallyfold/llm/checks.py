@@ -13,6 +13,7 @@ from tallyfold.llm.digest import edited_fingerprints
 from tallyfold.llm.html import extract_text
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
+from tallyfold.llm.packing import pack_documents
 from tallyfold.llm.ppm import score_texts
 from tallyfold.llm.quality import fit_quality, graded, with_quality
 from tallyfold.llm.tables import table
@@ -90,3 +91,8 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = lines.drop_repeated_lines(table(spark, sf_dir, "documents").select("doc_id", "text"), min_docs=10, min_chars=1)
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(table(spark, sf_dir, "documents"))
