@@ -11,6 +11,7 @@ from tallyfold.llm import lines, pii
 from tallyfold.llm.decontam import contaminated_passages
 from tallyfold.llm.digest import edited_fingerprints
 from tallyfold.llm.html import extract_text
+from tallyfold.llm.manifest import manifest
 from tallyfold.llm.mixing import mix_sources
 from tallyfold.llm.ngram_join import near_duplicate_groups
 from tallyfold.llm.packing import pack_documents
@@ -96,3 +97,8 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack_documents(table(spark, sf_dir, "documents"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return manifest(table(spark, sf_dir, "documents"))
