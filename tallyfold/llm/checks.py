@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyfold.llm import lines, pii
+from tallyfold.llm.alignment import align_tokenizers
 from tallyfold.llm.decontam import contaminated_passages
 from tallyfold.llm.digest import edited_fingerprints
 from tallyfold.llm.html import extract_text
@@ -102,3 +103,8 @@ def op11_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return manifest(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_tokenizer_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return align_tokenizers(table(spark, sf_dir, "documents"))
