@@ -15,7 +15,7 @@ from tallyfold.checks.reports import ASSESS_SQL, ASSESS_TABLES
 from tallyfold.operators.merge import changed_rows, insert_absent, merge_df
 from tallyfold.plans import jobs, overrides, rates, summary, sync
 from tallyfold.session import new_scratch
-from tallyfold.sources import schemas, seeds, statement_files, warehouse
+from tallyfold.sources import schemas, seeds, statement_files, versioned, warehouse
 from tallyfold.sources.domain import DEFINITIONS, Domain
 from tallyfold.sources.landing import scan_table
 from tallyfold.streaming.jobs import stream_append_sync, stream_ingest_uploads
@@ -335,16 +335,32 @@ def _(d: Domain):
     return d.spark.read.parquet(f"{root}/audit_logs")
 
 
-@query(
-    "stream_ingest_uploads", ["ledger_rows", "cust_master", "assess_rates"],
+INGESTED_SQL = (
     "select fin_year, cust_id, doc_number, cast(taxable_amt as double) taxable_amt from (select concat(cast(year(d)-case when month(d)>=4 then 0 else 1 end as varchar),'-',lpad(cast((year(d)+case when month(d)>=4 then 1 else 0 end)%100 as varchar),2,'0')) fin_year, "
-    "o_custkey cust_id, concat('INV-',cast(o_orderkey as varchar)) doc_number, cast(o_totalprice as decimal(15,2)) taxable_amt from (select *, cast(o_orderdate as date) d from orders) o) x",
+    "o_custkey cust_id, concat('INV-',cast(o_orderkey as varchar)) doc_number, cast(o_totalprice as decimal(15,2)) taxable_amt from (select *, cast(o_orderdate as date) d from orders) o) x"
 )
+
+
+@query("stream_ingest_uploads", ["ledger_rows", "cust_master", "assess_rates"], INGESTED_SQL)
 def _(d: Domain):
     """Ledger files arrive in a landing folder and end as stored invoices; a
     second run finds nothing new."""
     root = new_scratch(d.spark, "uploads")
     store = warehouse.operational_store(d.spark, f"{root}/tables")
+    return _ingest_landed(d, store, root)
+
+
+@query("versioned_ingest_uploads", ["ledger_rows", "cust_master", "assess_rates"], INGESTED_SQL)
+def _(d: Domain):
+    """As ``stream_ingest_uploads`` into versioned tables: every change is one
+    atomic commit of a manifest, a second run commits no new invoice, and the
+    rows are read from the newest manifest's files."""
+    root = new_scratch(d.spark, "versioned")
+    store = versioned.versioned_operational_store(d.spark, f"{root}/tables")
+    return _ingest_landed(d, store, root)
+
+
+def _ingest_landed(d: Domain, store: warehouse.Store, root: str) -> DataFrame:
     store.append("cust_master", d.cust_master)
     key = F.col("o_orderkey").cast("string")
     blank = F.lit("")
