@@ -18,11 +18,14 @@ partition number and are the same on every rerun of a task.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pandas as pd
+import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -102,16 +105,54 @@ class BestFit:
         return {seq: self.capacity - free for seq, free in self.free_of.items()}
 
 
+# White space as the tokenizer's own patterns see it (the Unicode White_Space
+# property); str.split() also splits at U+001C to U+001F, which it does not.
+WHITE = regex.compile(r"[\p{White_Space}]+")
+NOT_WHITE_TO_IT = re.compile("[\x1c-\x1f]")
+
+
+class ChunkIds:
+    """Ids of texts, each run between white space encoded once per task.
+
+    Exact for a tokenizer whose normalizer works character by character
+    (NFC composes nothing across a space) and whose pre-tokenizer drops white
+    space, so that no token spans it: the ids of a text are the ids of its
+    chunks in order. ``word_bpe_49k`` is such a tokenizer. The memo is cleared
+    when it holds ``limit`` chunks.
+    """
+
+    def __init__(self, tokenizer, limit: int = 1 << 20):
+        self.tokenizer, self.limit, self.memo = tokenizer, limit, {}
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        parts = [WHITE.split(t) if NOT_WHITE_TO_IT.search(t) else t.split() for t in texts]
+        if len(self.memo) > self.limit:
+            self.memo.clear()
+        new = list({c for p in parts for c in p if c and c not in self.memo})
+        if new:
+            for chunk, enc in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
+                self.memo[chunk] = enc.ids
+        memo = self.memo
+        return [np.fromiter(chain.from_iterable(memo[c] for c in p if c), np.int64) for p in parts]
+
+
 def _crc(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def _first_round(tokenizer_file: str, capacity: int, open_bins: int):
+def _first_round(tokenizer_file: str, capacity: int, open_bins: int, by_chunks: bool):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         tok = Tokenizer.from_file(tokenizer_file)
+        chunked = ChunkIds(tok)
+
+        def encode(texts):
+            if by_chunks:
+                return chunked(texts)
+            return [np.asarray(e.ids, np.int64) for e in tok.encode_batch(texts, add_special_tokens=False)]
+
         part = TaskContext.get().partitionId()
         fit = BestFit(capacity, open_bins, first=part << 32)
         for batch in batches:
@@ -119,8 +160,8 @@ def _first_round(tokenizer_file: str, capacity: int, open_bins: int):
                 continue
             texts = batch["text"].where(batch["text"].notna(), "").tolist()
             out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset", "n_ids")}
-            for doc, enc in zip(batch["doc_id"].tolist(), tok.encode_batch(texts, add_special_tokens=False)):
-                ids = np.append(np.asarray(enc.ids, dtype=np.int64), END_ID)
+            for doc, enc in zip(batch["doc_id"].tolist(), encode(texts)):
+                ids = np.append(enc, END_ID)
                 for piece, start in enumerate(range(0, len(ids), capacity)):
                     chunk = ids[start : start + capacity]
                     seq, offset = fit.place(len(chunk))
@@ -178,6 +219,7 @@ def pack_documents(
     tokenizer_file: str | None = None,
     capacity: int = CAPACITY,
     open_bins: int = OPEN_BINS,
+    by_chunks: bool = True,
 ) -> DataFrame:
     """One row per piece of a document in its sequence.
 
@@ -194,7 +236,9 @@ def pack_documents(
     Defined cases: a null or empty text has the one id ``END_ID``; a null
     doc_id is packed like any other and keeps its null; repeated rows are
     packed each; an empty table gives no rows; columns besides doc_id and text
-    are ignored, whatever their names. Texts are tokenized whole.
+    are ignored, whatever their names. Texts are tokenized whole; with
+    ``by_chunks`` (right for tokenizers as ``ChunkIds`` describes), each run
+    between white space is tokenized once per task and its ids reused.
     """
     tokenizer_file = tokenizer_file or default_tokenizer()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -202,7 +246,7 @@ def pack_documents(
         F.col("doc_id").asc_nulls_first(), F.xxhash64("text"), F.length("text"), "text"
     )
     first = stage(
-        bounded_batches(ordered).mapInPandas(_first_round(tokenizer_file, capacity, open_bins), PIECES),
+        bounded_batches(ordered).mapInPandas(_first_round(tokenizer_file, capacity, open_bins, by_chunks), PIECES),
         "packed",
     )
     placed = first.where(~F.col("open")).drop("open")

@@ -108,3 +108,17 @@ def test_packing_of_the_given_table_and_reruns(spark):
 
 def test_empty_table(spark):
     assert pack_documents(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunk_ids_equal_whole_text_ids():
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm.packing import ChunkIds
+
+    tok = Tokenizer.from_file(default_tokenizer())
+    texts = ["ΟΔΟΣ ΟΔΟΣ.", "İstanbul İ", "a\x1cb c\x1fd", "a b　c", "e ́x", "x<|endoftext|>y <|startoftext|>",
+             "  lead trail  ", "中文 字", "ﬁ ﬂ ①", "A​B", "tab\there\r\nnew", "it's don't", "", "Hello hello HELLO"]
+    chunked = ChunkIds(tok, limit=3)
+    for _ in range(2):
+        got = chunked(texts)
+        assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
