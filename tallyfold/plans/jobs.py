@@ -18,6 +18,7 @@ from tallyfold.functions.identifiers import key_of
 from tallyfold.operators.joins import lookup_join
 from tallyfold.operators.keyed import assign_ids
 from tallyfold.plans import ingest
+from tallyfold.plans.journal import Journal, append_absent, step
 from tallyfold.plans.assess import reassess_tax
 from tallyfold.plans.audit import override_event
 from tallyfold.plans.overrides import valid_overrides
@@ -53,18 +54,72 @@ def _paths(files: DataFrame) -> list[str]:
     return [r[0] for r in files.select("path").collect()]
 
 
-def _log(store: Store, files: DataFrame, counts: DataFrame, module: str, event: DataFrame) -> None:
+def _log_frames(store: Store, files: DataFrame, counts: DataFrame, module: str, event: DataFrame) -> dict[str, DataFrame]:
+    """Audit rows with their ids and ledger rows, as they will be stored."""
     now = _now()
     events = stage(event.withColumn("_n", F.monotonically_increasing_id()), "events")
-    audit = assign_ids(events, ["_n"], "log_id", store.max_id("audit_logs", "log_id"))
-    store.append(
-        "audit_logs",
-        audit.withColumns(
-            {"timestamp": now, "user_name": F.lit(SYSTEM_USER), "ip_address": F.lit("unknown")}
-        ),
+    audit = assign_ids(events, ["_n"], "log_id", store.max_id("audit_logs", "log_id")).withColumns(
+        {"timestamp": now, "user_name": F.lit(SYSTEM_USER), "ip_address": F.lit("unknown")}
     )
     rows = ledger_rows(files, counts, module)
-    store.append("file_uploads_log", rows.withColumns({"uploaded_by": F.lit(SYSTEM_USER), "uploaded_at": now}))
+    return {
+        "audit": audit.select(*store.schemas["audit_logs"].names),
+        "ledger": rows.withColumns({"uploaded_by": F.lit(SYSTEM_USER), "uploaded_at": now}).select(
+            *store.schemas["file_uploads_log"].names
+        ),
+    }
+
+
+def _journalled(store: Store, module: str, files: DataFrame, frames: dict[str, DataFrame], steps: list[str]) -> None:
+    """Record the upload's intent with everything it writes, then write it step
+    by step (see ``journal``)."""
+    said = sorted(f"{r[0]}:{r[1]}" for r in files.select("upload_id", "file_hash").collect())
+    journal = Journal(store)
+    journal.run(journal.begin(Journal.key_of(module, said), module, frames, steps))
+
+
+def recover(store: Store) -> int:
+    """Finish the uploads that a dead job left; every upload job starts so."""
+    return Journal(store).recover()
+
+
+@step("income_records")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    store.replace_by_key("income_records", f["accepted"], ingest.BOOK_KEY)
+
+
+@step("unreferenced_entries")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    store.replace_by_key("unreferenced_entries", f["entries"], ["upload_id"])
+
+
+@step("form26as_records")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    append_absent(store, "form26as_records", f["statement"], "record_id")
+
+
+@step("cust_master")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    store.merge("cust_master", f["delta"], ["cust_id"], CUSTOMER_ATTRIBUTES)
+
+
+@step("reassess")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    reassess_customers(store, f["reassess"])
+
+
+@step("audit_logs")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    append_absent(store, "audit_logs", f["audit"], "log_id")
+
+
+@step("file_uploads_log")
+def _(store: Store, f: dict[str, DataFrame]) -> None:
+    append_absent(store, "file_uploads_log", f["ledger"], "upload_id")
+
+
+CUSTOMER_ATTRIBUTES = ["cust_name", "tan_number", "gstin_number", "cust_status", "contact"]
+LOG_STEPS = ["audit_logs", "file_uploads_log"]
 
 
 def reassess_customers(store: Store, whose: DataFrame) -> None:
@@ -86,6 +141,7 @@ def reassess_customers(store: Store, whose: DataFrame) -> None:
 
 def ingest_books(store: Store, paths: Sequence[str], fin_year: str = "") -> DataFrame:
     """Ledger text files to stored invoices; counts per file."""
+    recover(store)
     files = fresh_files(store, paths)
     fresh = _paths(files)
     frames = landing.read_books_delimited(store.spark, fresh) if fresh else []
@@ -95,6 +151,7 @@ def ingest_books(store: Store, paths: Sequence[str], fin_year: str = "") -> Data
 def ingest_books_table(store: Store, sheet: DataFrame, files: DataFrame, fin_year: str = "") -> DataFrame:
     """The same for a landed sheet (file_id, line_no, columns) whose files'
     hashes are given: file_id, file_hash, size_bytes, path."""
+    recover(store)
     fresh = admit(store, files)
     wanted = sheet.join(fresh.select("file_id"), "file_id", "left_semi")
     return _store_books(store, fresh, [landing.read_books_table(wanted)], fin_year)
@@ -123,19 +180,20 @@ def _store_books(store: Store, files: DataFrame, frames: list[DataFrame], fin_ye
     accepted = stage(
         ingest.accepted_books(classified, ref, store.max_id("income_records", "income_id")), "accepted"
     )
-    store.replace_by_key("income_records", accepted, ingest.BOOK_KEY)
     unmatched = ingest.unmatched_entries(classified, ref, years)
     numbered = assign_ids(unmatched, landing.META, "unref_id", store.max_id("unreferenced_entries", "unref_id"))
     # Keyed by upload: a job that is run again replaces its own rows.
-    entries = stage(lookup_join(numbered, files.select("file_id", "upload_id"), ["file_id"]), "unmatched")
-    store.replace_by_key("unreferenced_entries", entries, ["upload_id"])
-    reassess_customers(store, accepted.select("cust_id", "fin_year"))
-    _log(store, files, years.join(counts, "file_id", "left"), "books_of_accounts", ingest.books_event(counts, years))
+    entries = lookup_join(numbered, files.select("file_id", "upload_id"), ["file_id"])
+    logs = _log_frames(store, files, years.join(counts, "file_id", "left"), "books_of_accounts", ingest.books_event(counts, years))
+    frames = {"accepted": accepted, "entries": entries, "reassess": accepted.select("cust_id", "fin_year"), **logs}
+    steps = ["income_records", "unreferenced_entries", "reassess", *LOG_STEPS]
+    _journalled(store, "books_of_accounts", files, frames, steps)
     return counts
 
 
 def ingest_statement_text(store: Store, paths: Sequence[str], fy_mode: str = "per_row") -> DataFrame:
     """Statement text files to stored credits; counts per file."""
+    recover(store)
     files = fresh_files(store, paths)
     fresh = _paths(files)
     if not fresh:
@@ -151,18 +209,18 @@ def store_statement(store: Store, files: DataFrame, parsed: DataFrame, fy_mode:
     classified = stage(ingest.classify_statement(parsed, store.read("cust_master"), fy_mode), "statement")
     fresh = stage(ingest.new_statement_rows(classified, store.read("form26as_records")), "new-statement")
     counts = stage(ingest.statement_counts(classified, fresh), "counts")
-    store.append("form26as_records", ingest.statement_rows(fresh, store.max_id("form26as_records", "record_id")))
-    # All accepted rows, not only the ones added now: a run that died after the
-    # append finds nothing new when it is repeated, and still has to reassess.
+    statement = ingest.statement_rows(fresh, store.max_id("form26as_records", "record_id"))
     said = classified.filter(F.col("outcome") == "accepted").select(key_of(F.col("tan_of_deductor")).alias("tan"), "fin_year").distinct()
     owners = store.read("cust_master").select("cust_id", key_of(F.col("tan_number")).alias("tan"))
-    reassess_customers(store, said.join(owners, "tan").select("cust_id", "fin_year"))
-    _log(store, files, counts.join(years, "file_id"), "form26as", ingest.statement_event(counts, years))
+    logs = _log_frames(store, files, counts.join(years, "file_id"), "form26as", ingest.statement_event(counts, years))
+    frames = {"statement": statement, "reassess": said.join(owners, "tan").select("cust_id", "fin_year"), **logs}
+    _journalled(store, "form26as", files, frames, ["form26as_records", "reassess", *LOG_STEPS])
     return counts
 
 
 def ingest_customers(store: Store, sheet: DataFrame, files: DataFrame) -> DataFrame:
     """A landed customer sheet (file_id, line_no, columns) to the master; counts per file."""
+    recover(store)
     fresh = admit(store, files)
     wanted = sheet.join(fresh.select("file_id"), "file_id", "left_semi")
     known = store.read("cust_master")
@@ -170,14 +228,13 @@ def ingest_customers(store: Store, sheet: DataFrame, files: DataFrame) -> DataFr
     classified = stage(ingest.classify_customers(rows, known), "customers")
     changes = ingest.customer_changes(classified, known, store.max_id("cust_master", "cust_id"))
     counts = stage(ingest.customer_counts(classified, known), "counts")
-    delta = stage(changes.updated.unionByName(changes.inserted), "customer-delta")
-    attributes = ["cust_name", "tan_number", "gstin_number", "cust_status", "contact"]
-    store.merge("cust_master", delta, ["cust_id"], attributes)
+    delta = changes.updated.unionByName(changes.inserted)
     nothing = F.lit(None).cast("string")
-    _log(
+    logs = _log_frames(
         store, fresh, counts.withColumns({"fin_year": nothing, "quarter": nothing}), "customer_master",
         ingest.customers_event(counts),
     )
+    _journalled(store, "customer_master", fresh, {"delta": delta, **logs}, ["cust_master", *LOG_STEPS])
     return counts
 
 
