@@ -22,8 +22,9 @@ from tallyfold.plans.journal import Journal, append_absent, step
 from tallyfold.plans.assess import reassess_tax
 from tallyfold.plans.audit import override_event
 from tallyfold.plans.overrides import valid_overrides
-from tallyfold.plans.uploads import FAILED, hash_of, ledger_rows, new_files
+from tallyfold.plans.uploads import FAILED, ledger_rows, new_files
 from tallyfold.sources import landing, statement_files
+from tallyfold.sources.file_digest import file_digests
 from tallyfold.sources.warehouse import Store, stage
 
 SYSTEM_USER = "system"
@@ -34,9 +35,10 @@ def _now() -> Column:
 
 
 def fresh_files(store: Store, paths: Sequence[str]) -> DataFrame:
-    """Files of the upload that are not in the ledger, without their bytes."""
-    files = landing.read_files(store.spark, paths)
-    hashed = files.select("file_id", "path", "size_bytes", hash_of(F.col("content")).alias("file_hash"))
+    """Files of the upload that are not in the ledger. A file is hashed in
+    ordered pieces of lines read in splits (``file_digest``), never as one
+    cell, so its size is not bounded by a task's memory."""
+    hashed = file_digests(store.spark, paths).select("file_id", "path", "size_bytes", "file_hash")
     return admit(store, hashed)
 
 
