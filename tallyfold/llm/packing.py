@@ -128,12 +128,16 @@ class ChunkIds:
         parts = [WHITE.split(t) if NOT_WHITE_TO_IT.search(t) else t.split() for t in texts]
         if len(self.memo) > self.limit:
             self.memo.clear()
-        new = list({c for p in parts for c in p if c and c not in self.memo})
+        memo = self.memo
+        memo[""] = ()
+        new = set(chain.from_iterable(parts))
+        new.difference_update(memo)
         if new:
+            new = list(new)
             for chunk, enc in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                self.memo[chunk] = enc.ids
-        memo = self.memo
-        return [np.fromiter(chain.from_iterable(memo[c] for c in p if c), np.int64) for p in parts]
+                memo[chunk] = tuple(enc.ids)
+        look = memo.__getitem__
+        return [np.fromiter(chain.from_iterable(map(look, p)), np.int64) for p in parts]
 
 
 def _crc(ids: np.ndarray) -> int:
