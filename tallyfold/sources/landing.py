@@ -13,10 +13,10 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallyfold.functions.headers import normalise_headers
 from tallyfold.functions.identifiers import text_or_blank
+from tallyfold.sources.delimited import read_delimited
 from tallyfold.operators.keyed import first_per_key
 
 POSITION = ["line_block", "line_no"]
@@ -101,24 +101,19 @@ def _clean(df: DataFrame, meta: Sequence[str]) -> DataFrame:
 
 def read_books_delimited(spark: SparkSession, paths: Sequence[str]) -> list[DataFrame]:
     """Ledger text files, one frame per distinct header: tab-separated if the
-    header line has a tab, comma-separated otherwise."""
+    header line has a tab, comma-separated otherwise. Records are read by
+    ``read_delimited``: in splits, quoted line breaks kept; ``line_no`` is the
+    record's first line in its file."""
     groups: dict[str, list[str]] = {}
     for path, header in sorted(header_lines(spark, paths).items()):
         groups.setdefault(header, []).append(path)
     frames = []
     for header, members in groups.items():
         names = header_of(header)
-        schema = T.StructType([T.StructField(n, T.StringType()) for n in names])
-        rows = (
-            spark.read.schema(schema)
-            .option("header", True)
-            .option("sep", separator_of(header))
-            .option("quote", '"')
-            .option("escape", '"')
-            .csv(members)
-        )
+        # Read in splits; a quoted field with line breaks stays one record.
+        rows = read_delimited(spark, members, names, sep=separator_of(header))
         named = [n for n in names if not _unnamed(n)]
-        frames.append(_clean(rows.select(*_file_columns(), *named), META))
+        frames.append(_clean(rows.select(*META, *[F.col(f"`{n}`") for n in named]), META))
     return frames
 
 

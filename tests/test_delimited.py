@@ -63,3 +63,12 @@ def test_open_quote_runs_to_the_end_and_header_only_file(spark, tmp_path):
     (tmp_path / "head.csv").write_text("code,doc_no,note,amount\n", encoding="utf-8")
     got = read_delimited(spark, [str(tmp_path / "open.csv"), str(tmp_path / "head.csv")], NAMES).collect()
     assert len(got) == 1 and got[0]["code"] == "C1" and got[0]["note"] == "never closed\nC2,D2,x,2"
+
+
+def test_ledger_upload_keeps_quoted_line_break_as_one_row(spark, tmp_path):
+    from tallyfold.sources import landing
+
+    (tmp_path / "l.txt").write_text('code,doc_no,date,taxable\nC1,"INV\n1",2024-04-15,10\nC2,INV-2,2024-04-16,20\n')
+    (frame,) = landing.read_books_delimited(spark, [str(tmp_path / "l.txt")])
+    got = sorted((r["code"], r["doc_no"]) for r in frame.collect())
+    assert got == [("C1", "INV\n1"), ("C2", "INV-2")]
