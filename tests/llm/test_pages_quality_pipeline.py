@@ -251,7 +251,7 @@ def test_each_stage_by_brute_force(spark):
 
 def test_registered():
     names = entry.queries()
-    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 11))
+    assert {int(n[2:].split("_")[0]) for n in names if re.match(r"op\d+_", n)} == set(range(1, 14))
     assert names["pipeline"] is corpus_pipeline.run
 
 
