@@ -21,10 +21,12 @@ import os
 import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -106,38 +108,119 @@ class BestFit:
 
 
 # White space as the tokenizer's own patterns see it (the Unicode White_Space
-# property); str.split() also splits at U+001C to U+001F, which it does not.
+# property); Arrow, as str.split(), also splits at U+001C to U+001F, which it does not.
 WHITE = regex.compile(r"[\p{White_Space}]+")
 NOT_WHITE_TO_IT = re.compile("[\x1c-\x1f]")
+# The tokenizer's own cut of a run of ASCII characters, lower-cased.
+ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+WORD_END = "</w>"
+# Chunks that are encoded as one text.
+JOINED = 4096
+
+
+def _words_in(chunk: str) -> int:
+    """How many words the tokenizer cuts a chunk into; 0 if not known here."""
+    if chunk.isalpha() and "\u0130" not in chunk:  # the one letter whose lower case holds a mark
+        return 1
+    return len(ASCII_WORDS.findall(chunk.lower())) if chunk.isascii() and "<|" not in chunk else 0
 
 
 class ChunkIds:
-    """Ids of texts, each run between white space encoded once per task.
+    """Ids of texts, each run between white space encoded once per Python worker.
 
-    Exact for a tokenizer whose normalizer works character by character
+    Exact for a tokenizer whose normalizer lower-cases, works character by character
     (NFC composes nothing across a space) and whose pre-tokenizer drops white
     space, so that no token spans it: the ids of a text are the ids of its
     chunks in order. ``word_bpe_49k`` is such a tokenizer. The memo is cleared
     when it holds ``limit`` chunks.
+
+    New chunks are encoded together, ``JOINED`` to a text with a space between
+    them. A token that ends a word says so in its name (``</w>``), so the ids
+    fall into words, and the words into chunks by the number of words of each:
+    one for a run of letters, counted for other ASCII. If the words found are
+    not as many as expected, and for chunks of unknown count, each chunk is
+    encoded alone.
+
+    The ids lie in one array; a chunk's number gives their place and length
+    there, and a batch's ids are gathered at once.
     """
 
     def __init__(self, tokenizer, limit: int = 1 << 20):
-        self.tokenizer, self.limit, self.memo = tokenizer, limit, {}
+        self.tokenizer, self.limit = tokenizer, limit
+        vocab = tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
+        self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
+        self._clear()
+
+    def _clear(self) -> None:
+        self.number: dict[str, int] = {"": 0}
+        self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+
+    def _alone(self, chunks: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
+        ids = [np.asarray(e.ids, np.int64) for e in encoded]
+        return ids, [len(i) for i in ids]
+
+    def _together(self, chunks: list[str], words: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
+        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+        ends = np.flatnonzero(self.ends[ids])
+        last = np.cumsum(words)
+        if not len(ends) or len(ends) != last[-1] or ends[-1] != len(ids) - 1:
+            return self._alone(chunks)
+        return [ids], np.diff(ends[last - 1], prepend=-1).tolist()
+
+    def _learn(self, new: list[str]) -> None:
+        words = np.fromiter(map(_words_in, new), np.int64, len(new))
+        order = np.argsort(words == 0, kind="stable")
+        new, words = [new[k] for k in order], words[order]
+        known = int(np.count_nonzero(words))
+        runs, sizes = [self.flat], []
+        for first in range(0, known, JOINED):
+            end = min(first + JOINED, known)
+            ids, size = self._together(new[first:end], words[first:end])
+            runs.extend(ids)
+            sizes.extend(size)
+        if known < len(new):
+            ids, size = self._alone(new[known:])
+            runs.extend(ids)
+            sizes.extend(size)
+        before = len(self.number)
+        self.number.update(zip(new, range(before, before + len(new))))
+        self.flat, self.size = np.concatenate(runs), np.append(self.size, np.array(sizes, np.int64))
+        self.start = np.cumsum(self.size) - self.size
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        parts = [WHITE.split(t) if NOT_WHITE_TO_IT.search(t) else t.split() for t in texts]
-        if len(self.memo) > self.limit:
-            self.memo.clear()
-        memo = self.memo
-        memo[""] = ()
-        new = set(chain.from_iterable(parts))
-        new.difference_update(memo)
+        # Lower-casing is the tokenizer's own, but for special tokens' text.
+        texts = [t.lower() if t.isascii() and "<|" not in t else t for t in texts]
+        if any(map(NOT_WHITE_TO_IT.search, texts)):
+            parts = pa.array([WHITE.split(t) for t in texts], pa.large_list(pa.large_string()))
+        else:
+            parts = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
+            parts = parts.cast(pa.large_list(pa.large_string()))
+        if len(self.number) > self.limit:
+            self._clear()
+        chunks = parts.flatten().dictionary_encode()
+        found = chunks.dictionary.to_pylist()
+        new = [c for c in found if c not in self.number]
         if new:
-            new = list(new)
-            for chunk, enc in zip(new, self.tokenizer.encode_batch(new, add_special_tokens=False)):
-                memo[chunk] = tuple(enc.ids)
-        look = memo.__getitem__
-        return [np.fromiter(chain.from_iterable(map(look, p)), np.int64) for p in parts]
+            self._learn(new)
+        numbers = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
+        which = numbers[chunks.indices.to_numpy(zero_copy_only=False)]
+        size = self.size[which]
+        after = np.append(0, np.cumsum(size))
+        ids = self.flat[np.repeat(self.start[which] - after[:-1], size) + np.arange(after[-1])]
+        cuts = after[parts.offsets.to_numpy()]
+        return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+@lru_cache(maxsize=1)
+def _chunk_ids(tokenizer_file: str) -> tuple:
+    """The tokenizer and its memo, kept from one task to the next in a Python
+    worker; what a memo holds changes no ids."""
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(tokenizer_file)
+    return tok, ChunkIds(tok)
 
 
 def _crc(ids: np.ndarray) -> int:
@@ -147,10 +230,7 @@ def _crc(ids: np.ndarray) -> int:
 def _first_round(tokenizer_file: str, capacity: int, open_bins: int, by_chunks: bool):
     def pack(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-        from tokenizers import Tokenizer
-
-        tok = Tokenizer.from_file(tokenizer_file)
-        chunked = ChunkIds(tok)
+        tok, chunked = _chunk_ids(tokenizer_file)
 
         def encode(texts):
             if by_chunks:
@@ -242,7 +322,7 @@ def pack_documents(
     packed each; an empty table gives no rows; columns besides doc_id and text
     are ignored, whatever their names. Texts are tokenized whole; with
     ``by_chunks`` (right for tokenizers as ``ChunkIds`` describes), each run
-    between white space is tokenized once per task and its ids reused.
+    between white space is tokenized once per Python worker and its ids reused.
     """
     tokenizer_file = tokenizer_file or default_tokenizer()
     ordered = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

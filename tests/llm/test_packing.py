@@ -122,3 +122,30 @@ def test_chunk_ids_equal_whole_text_ids():
     for _ in range(2):
         got = chunked(texts)
         assert [g.tolist() for g in got] == [e.ids for e in tok.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_chunks_encoded_together_equal_the_tokenizer():
+    """New chunks go to the tokenizer many to a text, not one by one, and come
+    out with the ids each has alone, whatever the words in them."""
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm import packing
+
+    tok, texts_sent = Tokenizer.from_file(packing.default_tokenizer()), []
+
+    class Counting:
+        def __getattr__(self, name):
+            def call(texts, **kw):
+                texts_sent.extend(texts)
+                return getattr(tok, name)(texts, **kw)
+
+            return call if name.startswith("encode_batch") else getattr(tok, name)
+
+    texts = [
+        "plain words, once. and (again)", "it's we'll ''s 'S 'RE' don't 12a3 _x_", "İSTANBUL ΣΊΣ ǅ ﬁ ²x",
+        "a<|endoftext|>b <| <|startoftext|>", "", "  ", "no break em", "\x1cone\x1ftwo three", " ".join(f"word{k} w{chr(97 + k % 26)}x" for k in range(500)),
+    ]
+    chunked = packing.ChunkIds(Counting())
+    for lot in (texts[:3], texts[3:], texts):
+        assert [a.tolist() for a in chunked(lot)] == [tok.encode(t, add_special_tokens=False).ids for t in lot]
+    assert len(texts_sent) < 40
