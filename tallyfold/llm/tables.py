@@ -16,7 +16,15 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     """The frame written under ``spark.checkpoint.dir`` and read back: its
     lineage is cut, and a lost executor costs one read."""
     path = new_scratch(df.sparkSession, f"llm-{name}")
-    df.write.parquet(path)
+    # The shuffles behind a written table are read by nobody afterwards; without this
+    # their files stay on the executors' disks until the driver happens to collect garbage.
+    conf, free = df.sparkSession.conf, "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = conf.get(free)
+    conf.set(free, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(free, before)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
