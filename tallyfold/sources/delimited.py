@@ -11,9 +11,10 @@ whole in one task. This reader does neither:
 3. the parity before a line is a prefix sum in two levels: per block of
    ``BLOCK_LINES`` lines (a small table, one row per block, summed over the
    file), then within the block; no window ever holds more than a block;
-4. a line whose parity before is even starts a record; records are numbered
-   by the same two-level prefix count, their lines gathered in order and
-   joined by ``\\n``, and then parsed by ``from_csv``.
+4. a line whose parity before and own parity are even is a record; the other
+   lines' records are numbered by the same two-level prefix count, their lines
+   gathered in order and joined by ``\\n``; then ``from_csv`` parses. Blocks
+   without any such line (most, mostly) are not shuffled.
 
 The result equals parsing the whole file in one task with the same options,
 for every split size. Line ends inside a quoted field come back as ``\\n``
@@ -33,6 +34,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tallyfold.sources.warehouse import stage
+
 BLOCK_LINES = 65536
 
 
@@ -68,24 +71,42 @@ def prefix_sum(df: DataFrame, value: str, out: str, block_lines: int = BLOCK_LIN
 
 
 def records(lines: DataFrame, quote: str = '"', block_lines: int = BLOCK_LINES) -> DataFrame:
-    """file_id, line_block, line_no, record (lines of one record joined by \\n),
-    record_no (from 1 in each file) from numbered lines."""
+    """file_id, line_block, line_no, record (lines of one record joined by \\n)
+    from numbered lines.
+
+    In a block that no quote is open before and that has no line of odd parity,
+    every line is a record; a table of one row per block tells these. Only the
+    lines of other blocks are shuffled, and of them only the lines of records
+    of several lines are numbered and gathered.
+    """
     parity = (F.length("text") - F.length(F.replace(F.col("text"), F.lit(quote), F.lit("")))) % 2
-    marked = prefix_sum(lines.withColumn("_q", parity), "_q", "_open", block_lines)
-    marked = marked.withColumn("_start", (F.col("_open") % 2 == 0).cast("long"))
-    numbered = prefix_sum(marked, "_start", "_starts_before", block_lines)
-    numbered = numbered.withColumn("record_no", F.col("_starts_before") + F.col("_start"))
-    grouped = numbered.groupBy("file_id", "record_no").agg(
+    marked = lines.withColumns({"_q": parity, "_blk": F.floor(F.col("line_index") / F.lit(block_lines))})
+    blocks = marked.groupBy("file_id", "_blk").agg(F.sum("_q").alias("_bsum"))
+    earlier = Window.partitionBy("file_id").orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
+    before = F.coalesce(F.sum("_bsum").over(earlier), F.lit(0))
+    # One row per block, read by both branches below.
+    blocks = stage(blocks.select("file_id", "_blk", (before % 2).alias("_bopen"), "_bsum"), "quote-blocks")
+    quiet = (F.col("_bopen") == 0) & (F.col("_bsum") == 0)
+    placed = marked.join(blocks, ["file_id", "_blk"])
+    alone = placed.filter(quiet)
+    inside = Window.partitionBy("file_id", "_blk").orderBy("line_index").rowsBetween(Window.unboundedPreceding, -1)
+    opened = (F.col("_bopen") + F.coalesce(F.sum("_q").over(inside), F.lit(0))) % 2
+    other = placed.filter(~quiet).withColumn("_open", opened)
+    whole = (F.col("_open") == 0) & (F.col("_q") == 0)
+    out = ["file_id", "line_block", F.col("line_index").alias("line_no"), F.col("text").alias("record")]
+    parts = other.filter(~whole).select("file_id", "line_block", "line_index", "text", (F.col("_open") == 0).cast("long").alias("_start"))
+    numbered = prefix_sum(parts, "_start", "_starts_before", block_lines)
+    grouped = numbered.groupBy("file_id", (F.col("_starts_before") + F.col("_start")).alias("_record")).agg(
         F.min(F.struct("line_index", "line_block")).alias("_first"),
         F.sort_array(F.collect_list(F.struct("line_index", "text"))).alias("_lines"),
     )
-    return grouped.select(
+    joined = grouped.select(
         "file_id",
         F.col("_first.line_block").alias("line_block"),
         F.col("_first.line_index").alias("line_no"),
         F.array_join(F.col("_lines.text"), "\n").alias("record"),
-        "record_no",
     )
+    return alone.select(*out).unionByName(other.filter(whole).select(*out)).unionByName(joined)
 
 
 def read_delimited(
@@ -100,6 +121,6 @@ def read_delimited(
     schema = ", ".join(f"`{n}` string" for n in names)
     options = {"sep": sep, "quote": quote, "escape": quote}
     recs = records(_numbered(spark, paths), quote, block_lines)
-    recs = recs.filter((F.col("record_no") > 1) & (F.col("record") != ""))
+    recs = recs.filter((F.col("line_no") > 0) & (F.col("record") != ""))
     row: Column = F.from_csv(F.col("record"), schema, options)
     return recs.select("file_id", "line_block", "line_no", *[row[n].alias(n) for n in names])

@@ -72,3 +72,23 @@ def test_ledger_upload_keeps_quoted_line_break_as_one_row(spark, tmp_path):
     (frame,) = landing.read_books_delimited(spark, [str(tmp_path / "l.txt")])
     got = sorted((r["code"], r["doc_no"]) for r in frame.collect())
     assert got == [("C1", "INV\n1"), ("C2", "INV-2")]
+
+
+def test_blocks_without_open_quotes_are_not_shuffled(spark):
+    """Lines of a block without an odd quote are records as they are; only the
+    lines of records of several lines are gathered."""
+    from pyspark.sql import functions as F
+
+    from tallyfold.sources.delimited import records
+
+    text = F.when(F.col("id") == 41, 'a,"b').when(F.col("id") == 43, 'c",d').when(F.col("id") == 70, 'x,"y""z"').otherwise(F.concat(F.lit("r,"), "id"))
+    lines = spark.range(100).select(
+        F.lit("f").alias("file_id"), F.lit(0).cast("long").alias("line_block"), F.col("id").alias("line_index"), text.alias("text")
+    )
+    got = records(lines, block_lines=10)
+    assert "collect_list" in got._jdf.queryExecution().optimizedPlan().toString()
+    by_line = {r["line_no"]: r["record"] for r in got.collect()}
+    assert len(by_line) == 98 and by_line[41] == 'a,"b\nr,42\nc",d' and by_line[70] == 'x,"y""z"' and by_line[99] == "r,99"
+    plain = records(lines.filter("line_index < 40"), block_lines=10)
+    gathered = plain.filter("record like '%\n%'")
+    assert plain.count() == 40 and gathered.count() == 0
