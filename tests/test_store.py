@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from tallyfold import session
 from tallyfold.plans import jobs
 from tallyfold.sources.schemas import OPERATIONAL
-from tallyfold.sources.warehouse import operational_store
+from tallyfold.sources.warehouse import operational_store, stage
 
 BUCKETS = 16
 
@@ -78,3 +78,27 @@ def test_scratch_needs_a_shared_folder_off_one_machine(monkeypatch):
 
     with pytest.raises(ValueError):
         session.scratch_root(Session())
+
+
+def test_emptied_partitions_are_found_without_meeting_every_row(store):
+    """The partitions a replacement empties go, and the join that finds them
+    meets one row per partition and task, not every row."""
+    seen = []
+    whole = store.read("income_records").filter("fin_year != '2020-21'")
+    touched = stage(store.partitions_of("income_records", store.read("income_records")), "touched")
+    session_of = type(touched)
+    real = session_of.join
+
+    def watched(self, other, *a, **k):
+        if "left_anti" in a:
+            seen.append(other.count())
+        return real(self, other, *a, **k)
+
+    session_of.join = watched
+    try:
+        store.replace_partitions("income_records", whole, touched)
+    finally:
+        session_of.join = real
+    assert store.read("income_records").select("fin_year").distinct().count() == 2
+    assert store.read("income_records").count() == 160
+    assert seen and max(seen) <= touched.count()
