@@ -17,6 +17,7 @@ partition number and are the same on every rerun of a task.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -111,83 +112,126 @@ class BestFit:
 # property); Arrow, as str.split(), also splits at U+001C to U+001F, which it does not.
 WHITE = regex.compile(r"[\p{White_Space}]+")
 NOT_WHITE_TO_IT = re.compile("[\x1c-\x1f]")
-# The tokenizer's own cut of a run of ASCII characters, lower-cased.
-ASCII_WORDS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9]+")
+# Below U+0250, where a letter's lower case is one letter (but for U+0130; some lie
+# beyond) and nothing composes: the tokenizer's own cut of a run between white space, lower-cased.
+LETTERS = "a-z\u00aa\u00b5\u00ba\u00df-\u00f6\u00f8-\u02af\u2c65\u2c66"
+NUMBERS = "0-9\u00b2\u00b3\u00b9\u00bc-\u00be"
+WORDS = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[{NUMBERS}]|[^\n{LETTERS}{NUMBERS}]+")
+# What is left to the tokenizer as it is: other characters, and what may be a special token.
+ODD = re.compile("<\\||[\u0085\u00a0\u0130]|[^\x00-\u024f]")
 WORD_END = "</w>"
-# Chunks that are encoded as one text.
+# Words that are encoded as one text.
 JOINED = 4096
 
 
-def _words_in(chunk: str) -> int:
-    """How many words the tokenizer cuts a chunk into; 0 if not known here."""
-    if chunk.isalpha() and "\u0130" not in chunk:  # the one letter whose lower case holds a mark
-        return 1
-    return len(ASCII_WORDS.findall(chunk.lower())) if chunk.isascii() and "<|" not in chunk else 0
+def _word_tokenizer(tokenizer):
+    """The tokenizer for words cut and lower-cased already, a space between them: the
+    same model, without the steps that change nothing in them and without its cache,
+    which only costs where every word is new."""
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    spec = json.loads(tokenizer.to_str())["model"]
+    if spec.pop("type") != "BPE":
+        return tokenizer
+    spec["merges"] = [tuple(m.split(" ") if isinstance(m, str) else m) for m in spec["merges"]]
+    given = {k: v for k, v in spec.items() if v is not None}
+    plain = Tokenizer(models.BPE(**given, cache_capacity=0))
+    byte_level = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+    plain.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), byte_level])
+    return plain
+
+
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The places ``start``, ``start + 1``, ... of every run, one after another."""
+    after = np.cumsum(sizes)
+    total = int(after[-1]) if len(after) else 0
+    small = total < 1 << 31 and (not len(starts) or int(starts.max()) + total < 1 << 31)
+    kind = np.int32 if small else np.int64
+    return np.repeat((starts - (after - sizes)).astype(kind), sizes) + np.arange(total, dtype=kind)
 
 
 class ChunkIds:
-    """Ids of texts, each run between white space encoded once per Python worker.
+    """Ids of texts, each word encoded once per Python worker.
 
     Exact for a tokenizer whose normalizer lower-cases, works character by character
     (NFC composes nothing across a space) and whose pre-tokenizer drops white
-    space, so that no token spans it: the ids of a text are the ids of its
-    chunks in order. ``word_bpe_49k`` is such a tokenizer. The memo is cleared
-    when it holds ``limit`` chunks.
-
-    New chunks are encoded together, ``JOINED`` to a text with a space between
-    them. A token that ends a word says so in its name (``</w>``), so the ids
-    fall into words, and the words into chunks by the number of words of each:
-    one for a run of letters, counted for other ASCII. If the words found are
-    not as many as expected, and for chunks of unknown count, each chunk is
-    encoded alone.
-
-    The ids lie in one array; a chunk's number gives their place and length
+    space, so that no token spans it: the ids of a text are the ids of its runs
+    between white space (chunks) in order, and a chunk's are those of its words.
+    ``word_bpe_49k`` is such a tokenizer. The memo is cleared when it holds
+    ``limit`` words or ``limit_ids`` ids.
+
+    A batch's distinct chunks are cut into words by ``WORDS``, the tokenizer's own
+    pattern for the characters below U+0250. A chunk with others, or with what may
+    be a special token, counts as one word and is encoded alone. Other new words
+    are encoded together, ``JOINED`` to a text with a space between them. A token
+    that ends a word says so in its name (``</w>``), so the ids fall into words;
+    if these are not as many as expected, each word is encoded alone.
+
+    The ids lie in one array; a word's number gives their place and length
     there, and a batch's ids are gathered at once.
     """
 
-    def __init__(self, tokenizer, limit: int = 1 << 20):
-        self.tokenizer, self.limit = tokenizer, limit
+    def __init__(self, tokenizer, limit: int = 1 << 20, limit_ids: int = 1 << 24):
+        self.tokenizer, self.limit, self.limit_ids = tokenizer, limit, limit_ids
+        self.words = _word_tokenizer(tokenizer)
         vocab = tokenizer.get_vocab(with_added_tokens=True)
         self.ends = np.zeros(max(vocab.values(), default=0) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith(WORD_END)]] = True
         self._clear()
 
     def _clear(self) -> None:
-        self.number: dict[str, int] = {"": 0}
-        self.flat, self.start, self.size = np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(1, np.int64)
+        self.number: dict[str, int] = {}
+        self.flat, self.start, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
-    def _alone(self, chunks: list[str]) -> tuple[list[np.ndarray], list[int]]:
-        encoded = self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False)
-        ids = [np.asarray(e.ids, np.int64) for e in encoded]
+    def _alone(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        encoded = self.tokenizer.encode_batch_fast(words, add_special_tokens=False)
+        ids = [np.asarray(e.ids, np.uint32) for e in encoded]
         return ids, [len(i) for i in ids]
 
-    def _together(self, chunks: list[str], words: np.ndarray) -> tuple[list[np.ndarray], list[int]]:
-        ids = np.asarray(self.tokenizer.encode_batch_fast([" ".join(chunks)], add_special_tokens=False)[0].ids, np.int64)
+    def _together(self, words: list[str]) -> tuple[list[np.ndarray], list[int]]:
+        ids = np.asarray(self.words.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
         ends = np.flatnonzero(self.ends[ids])
-        last = np.cumsum(words)
-        if not len(ends) or len(ends) != last[-1] or ends[-1] != len(ids) - 1:
-            return self._alone(chunks)
-        return [ids], np.diff(ends[last - 1], prepend=-1).tolist()
-
-    def _learn(self, new: list[str]) -> None:
-        words = np.fromiter(map(_words_in, new), np.int64, len(new))
-        order = np.argsort(words == 0, kind="stable")
-        new, words = [new[k] for k in order], words[order]
-        known = int(np.count_nonzero(words))
-        runs, sizes = [self.flat], []
-        for first in range(0, known, JOINED):
-            end = min(first + JOINED, known)
-            ids, size = self._together(new[first:end], words[first:end])
-            runs.extend(ids)
-            sizes.extend(size)
-        if known < len(new):
-            ids, size = self._alone(new[known:])
-            runs.extend(ids)
-            sizes.extend(size)
-        before = len(self.number)
-        self.number.update(zip(new, range(before, before + len(new))))
-        self.flat, self.size = np.concatenate(runs), np.append(self.size, np.array(sizes, np.int64))
-        self.start = np.cumsum(self.size) - self.size
+        if len(ends) != len(words) or ends[-1] != len(ids) - 1:
+            return self._alone(words)
+        return [ids], np.diff(ends, prepend=-1).tolist()
+
+    def _numbers(self, words: list[str], encode) -> np.ndarray:
+        """The words' numbers; new words are learnt by ``encode``."""
+        new = [w for w in words if w not in self.number]
+        if new:
+            runs, sizes = [self.flat], []
+            for first in range(0, len(new), JOINED):
+                ids, size = encode(new[first : first + JOINED])
+                runs.extend(ids)
+                sizes.extend(size)
+            before = len(self.number)
+            self.number.update(zip(new, range(before, before + len(new))))
+            self.flat, self.size = np.concatenate(runs), np.append(self.size, np.array(sizes, np.int64))
+            self.start = np.cumsum(self.size) - self.size
+        return np.fromiter(map(self.number.__getitem__, words), np.int64, len(words))
+
+    def _words_of(self, chunks: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The numbers of all the chunks' words in order, and how many each chunk has."""
+        together = pa.ListArray.from_arrays(pa.array([0, len(chunks)], pa.int32()), chunks)
+        text = pc.binary_join(together, pa.scalar("\n", chunks.type))[0].as_py()
+        odd = []
+        if ODD.search(text):
+            found = text.split("\n")
+            odd = [k for k, c in enumerate(found) if ODD.search(c)]
+            alone = self._numbers([found[k] for k in odd], self._alone)
+            for k in odd:
+                found[k] = ""
+            text = "\n".join(found)
+        # A line break before each chunk, the first in the dictionary therefore.
+        cut = pa.array(WORDS.findall("\n" + text.lower()), pa.large_string()).dictionary_encode()
+        which = cut.indices.to_numpy()
+        numbers = self._numbers(cut.dictionary.to_pylist()[1:], self._together)
+        words = numbers[which[which > 0] - 1]
+        count = np.diff(np.flatnonzero(which == 0), append=len(which)) - 1
+        if odd:
+            words = np.insert(words, np.cumsum(count)[odd], alone)
+            count[odd] = 1
+        return words, count
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         # Lower-casing is the tokenizer's own, but for special tokens' text.
@@ -197,19 +241,18 @@ class ChunkIds:
         else:
             parts = pc.utf8_split_whitespace(pa.array(texts, pa.large_string()))
             parts = parts.cast(pa.large_list(pa.large_string()))
-        if len(self.number) > self.limit:
+        if len(self.number) > self.limit or len(self.flat) > self.limit_ids:
             self._clear()
         chunks = parts.flatten().dictionary_encode()
-        found = chunks.dictionary.to_pylist()
-        new = [c for c in found if c not in self.number]
-        if new:
-            self._learn(new)
-        numbers = np.fromiter(map(self.number.__getitem__, found), np.int64, len(found))
-        which = numbers[chunks.indices.to_numpy(zero_copy_only=False)]
-        size = self.size[which]
-        after = np.append(0, np.cumsum(size))
-        ids = self.flat[np.repeat(self.start[which] - after[:-1], size) + np.arange(after[-1])]
-        cuts = after[parts.offsets.to_numpy()]
+        words, count = self._words_of(chunks.dictionary)
+        # The distinct chunks' ids, then those of all chunks as they come.
+        size = self.size[words]
+        flat = self.flat[_runs(self.start[words], size)]
+        after = np.append(0, np.append(0, np.cumsum(size))[np.cumsum(count)])
+        which = chunks.indices.to_numpy(zero_copy_only=False)
+        size = np.diff(after)[which]
+        ids = flat[_runs(after[which], size)]
+        cuts = np.append(0, np.cumsum(size))[parts.offsets.to_numpy()]
         return [ids[a:b] for a, b in zip(cuts[:-1], cuts[1:])]
 
 

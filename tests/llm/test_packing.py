@@ -149,3 +149,22 @@ def test_chunks_encoded_together_equal_the_tokenizer():
     for lot in (texts[:3], texts[3:], texts):
         assert [a.tolist() for a in chunked(lot)] == [tok.encode(t, add_special_tokens=False).ids for t in lot]
     assert len(texts_sent) < 40
+
+
+def test_words_are_learnt_once_whatever_stands_beside_them():
+    """A word next to other punctuation is not encoded anew, and the cut into
+    words is the tokenizer's own for every character below U+0250."""
+    from tokenizers import Tokenizer
+
+    from tallyfold.llm import packing
+
+    tok = Tokenizer.from_file(packing.default_tokenizer())
+    stems = [f"st{chr(97 + k // 26)}é{chr(97 + k % 26)}" for k in range(300)]
+    chunked = packing.ChunkIds(tok)
+    chunked([" ".join(f"{w} {w}, ({w}) {w}. {w}'s" for w in stems)])
+    assert len(chunked.number) <= 300 + 10
+    low = [chr(k) for k in range(0x250)]
+    texts = ["".join(low), " ".join(low), " ".join(f"a{c}1{c}'{c}S{c}" for c in low), "x 中y <|endoftext|> z 中y"]
+    texts += [t.translate({k: None for k in (0x1C, 0x1D, 0x1E, 0x1F, 0x85, 0xA0, 0x130)}) for t in texts]
+    for t in texts:
+        assert chunked([t])[0].tolist() == tok.encode(t, add_special_tokens=False).ids
