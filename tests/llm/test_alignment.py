@@ -110,3 +110,36 @@ def test_given_table(spark, tokenizers):
 
 def test_empty_table(spark):
     assert align_tokenizers(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_chunks_aligned_once_equal_whole_texts(tokenizers):
+    """Texts put together from remembered chunks have the rows of texts aligned
+    whole, whatever the white space, and repeated words are not tokenized again."""
+    from tallyfold.llm.alignment import ChunkAligner, a_encoder, align_one, flat_table
+
+    encode_a, pieces = a_encoder(default_files()[0])
+    _, b, _, bp = tokenizers
+    sent = []
+
+    def counted(text):
+        sent.append(text)
+        return b.encode(text, out_type=int)
+
+    tables = flat_table(pieces), flat_table(bp)
+    rng = random.Random(5)
+    parts = ["the", "naïve", "中文字", "x1y2", "it's", "'s", ").", "▁", "▁a", "<s>", "🙂", "́", "\x00", "\x1c", "<0x0A>", "1 000"]
+    spaces = [" ", " ", " ", " ", "", "  ", "\n", " \n", "\n ", "\t ", "  ", "  ", "　 ", "\x1f ", " \x85", "\r\n\r\n "]
+    texts = ["".join(rng.choice(parts) + rng.choice(spaces) for _ in range(rng.randrange(1, 25))) for _ in range(400)]
+    texts = [rng.choice(["", "", " ", "\n", "  "]) + t for t in texts] + [" ", "\n", "▁", "plain words alone", "words alone plain"]
+    chunked = ChunkAligner(encode_a, counted, *tables)
+    for lot in (texts, texts[:7], ["plain words alone"]):
+        for text, got in zip(lot, chunked(lot)):
+            want = align_one(np.asarray(encode_a(" " + text), np.int64), np.asarray(b.encode(text, out_type=int), np.int64),
+                             *tables, (" " + text).encode())
+            assert (got is None) == (want is None)
+            for k in want or ():
+                assert np.array_equal(got[k], want[k])
+    sent.clear()
+    many = [" ".join(rng.choice(["alpha", "beta", "gamma,", "delta."]) for _ in range(500)) for _ in range(20)]
+    chunked(many)
+    assert sum(map(len, sent)) < 100
