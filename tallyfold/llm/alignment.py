@@ -273,8 +273,15 @@ def align_one(a_ids: np.ndarray, b_ids: np.ndarray, a_table, b_table, target: by
 BETWEEN = re.compile(r"(?<=[^ ]) (?=\S)")
 # Texts that fall at every space or not at all need no such care.
 CARE = re.compile(r" \s| \Z|\A ")
-# Bytes of chunks that are aligned together, about.
-LOT_BYTES = 1 << 15
+# Characters of chunks that are aligned together, and of texts put together at a time, about.
+LOT_CHARS, TURN_CHARS = 1 << 15, 1 << 21
+
+
+def lots(sizes: list[int], limit: int) -> list[tuple[int, int]]:
+    """First and end of runs of items whose sizes come to about ``limit``."""
+    which = np.cumsum(sizes, dtype=np.int64) // limit
+    firsts = np.flatnonzero(np.diff(which, prepend=-1)).tolist()
+    return list(zip(firsts, [*firsts[1:], len(which)]))
 
 
 class ChunkAligner:
@@ -342,10 +349,9 @@ class ChunkAligner:
             if alone:
                 kept = set(alone)
                 new = [c for c in new if c not in kept]
-            lot = np.cumsum([len(c) + 1 for c in new]) // LOT_BYTES
-            firsts = np.flatnonzero(np.diff(lot, prepend=-1)).tolist() + [len(new)]
+            together = [new[a:b] for a, b in lots([len(c) + 1 for c in new], LOT_CHARS)]
             counts, links, written = [self.counts], [self.links], [self.written]
-            for part in [new[a:b] for a, b in zip(firsts[:-1], firsts[1:])] + [[c] for c in alone]:
+            for part in together + [[c] for c in alone]:
                 for of_each, in_order, groups in self._lot(part):
                     counts.append(of_each)
                     links.append(in_order)
@@ -359,6 +365,9 @@ class ChunkAligner:
 
     def __call__(self, texts: list[str]) -> list[dict | None]:
         """``align_one`` of each text, none of them empty."""
+        return [row for a, b in lots([len(t) for t in texts], TURN_CHARS) for row in self._rows(texts[a:b])]
+
+    def _rows(self, texts: list[str]) -> list[dict | None]:
         if any(map(CARE.search, texts)):
             cut = [BETWEEN.split(t) if CARE.search(t) else t.split(" ") for t in texts]
             parts = pa.array(cut, pa.large_list(pa.large_string()))
